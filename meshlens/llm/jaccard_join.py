@@ -56,10 +56,25 @@ def class_key(s: np.ndarray) -> np.uint64:
     return kernels.mix(np.array([kernels.mix(s ^ np.uint64(len(s))).sum(dtype=np.uint64)]))[0]
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(512, bool)
-    bits[(s >> np.uint64(55)).astype(np.int64)] = True
-    return np.packbits(bits).view(np.int64)
+def bitmap(s: np.ndarray, log2: int = 9) -> np.ndarray:
+    """Bytes of a bitmap of ``2 ** log2`` bits, set by the leading bits of the hashes."""
+    bits = np.zeros(1 << log2, bool)
+    bits[(s >> np.uint64(64 - log2)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
+def fine_bitmap(s: np.ndarray) -> bytes:
+    """A bitmap of 8 to 16 bits an element, an eighth of the set's own size."""
+    return bitmap(s, int(len(s)).bit_length() + 3).tobytes()
+
+
+def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two bitmaps differ; the longer one is first folded to the shorter one's length."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = np.packbits(np.unpackbits(y).reshape(-1, 2).any(axis=1))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _describe(n: int):
@@ -67,7 +82,7 @@ def _describe(n: int):
         for batch in batches:
             for row, texts in kernels.chunks(batch, "text"):
                 sets = shingle_sets(texts, n)
-                maps = np.array([bitmap(s) for s in sets]).reshape(-1, 8)
+                maps = np.array([bitmap(s) for s in sets], np.uint8).view(np.int64).reshape(-1, 8)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, len(texts)), pa.array([len(s) for s in sets], pa.int64())]
                     + [pa.array([class_key(s).view(np.int64) if len(s) else None for s in sets], pa.int64())]
@@ -129,31 +144,44 @@ def _prefixes(n: int, percent: int, frequent):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, fine: bool):
+    """(cls, n, data): the fine bitmap of each set, or its sorted shingles."""
+
     def run(batches):
         for batch in batches:
             for _, texts in kernels.chunks(batch, "text"):
                 sets = [s for s in shingle_sets(texts, n) if len(s)]
+                data = [fine_bitmap(s) if fine else s.tobytes() for s in sets]
+                keys = [class_key(s).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([class_key(s).view(np.int64) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["cls", "shingles"],
+                    [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(data, pa.binary())],
+                    names=["cls", "n", "data"],
                 )
 
     return run
 
 
-def _intersect(percent: int):
+def _bounded(na: int, nb: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The fine bitmaps allow the pair."""
+    return (100 + percent) * (na + nb - differing_bits(a, b)) >= 2 * percent * (na + nb)
+
+
+def _linked(na: int, nb: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The exact intersection of the sorted arrays reaches the threshold."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return (100 + percent) * common >= percent * (na + nb)
+
+
+def _filter(test, percent: int):
     def run(batches):
         for batch in batches:
-            a, b, sa, sb = (batch.column(c) for c in ("a", "b", "sa", "sb"))
-            keep = []
-            for x, y in zip(sa, sb):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append((100 + percent) * common >= percent * (len(x) + len(y)))
-            keep = pa.array(keep, pa.bool_())
+            a, b, *given = (batch.column(c) for c in ("a", "b", "na", "nb", "da", "db"))
+            sizes = [c.to_pylist() for c in given[:2]]
+            data = ([np.frombuffer(x.as_buffer(), np.uint8) for x in c] for c in given[2:])
+            keep = pa.array([test(*x, percent) for x in zip(*sizes, *data)], pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return run
@@ -168,19 +196,22 @@ def _may_link(x: str, y: str, percent: int) -> Column:
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, decided by their whole sets."""
+    """The pairs (a, b) of classes that link: finer bitmaps bound them, then whole sets decide."""
     pairs = staged(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
-    needed = staged(needed, "needed")
-    sets = (
-        docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-        .mapInArrow(_sets(n), "cls long, shingles binary")
-        .join(small_side(needed.select("cls")), "cls", "left_semi")
-        .dropDuplicates(["cls"])
-    )
-    sets = staged(sets, "sets")
-    sa, sb = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb"))
-    return staged(pairs.join(sa, "a").join(sb, "b").mapInArrow(_intersect(percent), "a long, b long"), "links")
+    for fine, test in ((True, _bounded), (False, _linked)):
+        needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
+        needed = staged(needed, "needed")
+        data = (
+            docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+            .mapInArrow(_sets(n, fine), "cls long, n long, data binary")
+            .join(small_side(needed.select("cls")), "cls", "left_semi")
+            .dropDuplicates(["cls"])
+        )
+        data = staged(data, "data")
+        for side in "ab":
+            pairs = pairs.join(data.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("data").alias(f"d{side}")), side)
+        pairs = staged(pairs.mapInArrow(_filter(test, percent), "a long, b long"), "links")
+    return pairs
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
