@@ -10,6 +10,7 @@ that no one-character piece covers costs the lowest score less ten and counts as
 from __future__ import annotations
 
 import os
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -20,18 +21,26 @@ from .common import plain
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
+PLACEHOLDER = -1e8
+_WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 #: Counts kept per worker before the table is emptied.
 KEPT_WORDS = 400_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece model file, in order of ids; BPE ranks serve as scores."""
+    """(piece, score) of the ordinary pieces of a sentencepiece model file, in order of ids.
+
+    Byte, control and unknown pieces match no text. Ranks of a merge model serve as scores; its placeholder
+    score (-1e9, for pieces that no merge makes) counts as one below the lowest rank.
+    """
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     model = pb.ModelProto()
     with open(path, "rb") as f:
         model.ParseFromString(f.read())
-    return [(p.piece, p.score) for p in model.pieces]
+    pieces = [(p.piece, p.score) for p in model.pieces if p.type == 1]
+    floor = min((score for _, score in pieces if score > PLACEHOLDER), default=0.0) - 1
+    return [(piece, max(score, floor) if score <= PLACEHOLDER else score) for piece, score in pieces]
 
 
 class UnigramCounter:
@@ -41,7 +50,7 @@ class UnigramCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.by_line = not any("\n" in piece for piece, _ in pieces)
+        self.by_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _ in pieces)
         self.kept: dict[str, int] = {}
 
     def viterbi(self, word: str) -> int:
@@ -65,25 +74,26 @@ class UnigramCounter:
             score[end + 1], count[end + 1] = best, pieces
         return count[size]
 
-    def of_word(self, word: str) -> int:
-        n = self.kept.get(word)
-        if n is None:
-            at = word.rfind(SPACE)
-            n = self.viterbi(word) if at <= 0 else self.of_word(word[:at]) + self.viterbi(word[at:])
-            if len(self.kept) >= KEPT_WORDS:
-                self.kept.clear()
-            self.kept[word] = n
-        return n
-
     def __call__(self, text: str) -> int:
-        """Tokens of ``text``; every space starts a new word."""
-        lines = text.split("\n") if self.by_line else [text]
-        total, of_word = len(lines) - 1, self.of_word
-        for line in lines:
-            first, *rest = line.split(" ")
-            total += of_word(first) if first else 0
-            for word in rest:
-                total += of_word(SPACE + word)
+        """Tokens of ``text`` with one space put before it and spaces written as pieces write them.
+
+        No piece goes on past the end of a word, so words (with the spaces before them) are counted one
+        by one; neither does one hold a line feed, which is one byte piece.
+        """
+        if not text:
+            return 0
+        marked = SPACE + text.replace(" ", SPACE)
+        words = _WORD.findall(marked) if self.by_word else [marked]
+        total, kept = 0, self.kept
+        for word in words:
+            n = kept.get(word)
+            if n is None:
+                n = self.viterbi(word)
+                if len(kept) >= KEPT_WORDS:
+                    kept.clear()
+                if len(word) <= 64:
+                    kept[word] = n
+            total += n
         return total
 
 
@@ -111,7 +121,7 @@ def _counts(path: str):
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens) for every row of ``docs`` (doc_id, text) under the vocabulary file at ``path``.
 
-    The file must be readable on every executor. Null and empty texts have 0 tokens; null ids and repeated
+    Scores are added exactly. The file must be readable on every executor. Null and empty texts have 0 tokens; null ids and repeated
     rows keep their rows; extra columns are ignored; an empty table gives an empty result. Texts of any
     length take memory in proportion to their longest word only.
     """
