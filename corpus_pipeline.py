@@ -1 +1,60 @@
-"""Cleaning pipeline over ``documents``."""
+"""Cleaning pipeline over ``documents``: from raw rows to packed training sequences.
+
+Every stage takes (spark, docs, sf_dir) and gets, as Parquet, all rows that the stage before it kept. All but the
+last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from meshlens.llm import decontaminate, jaccard_join, packing, quality_rules, substrings
+from meshlens.llm.common import small_side, staged, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    return quality_rules.keep_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: that with the smallest doc_id."""
+    classes = jaccard_join.jaccard_classes(docs)
+    others = staged(classes.where("doc_id <> component_id").select("doc_id"), "others")
+    return docs.join(small_side(others), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that another document keeps."""
+    return substrings.cut_passages(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", passages),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", packed),
+]
+
+#: SQL can't express chaining, edit distance and packing; the stages are tested against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
