@@ -114,7 +114,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_quality(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    m = measured(docs.select("lang", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), "_row")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    m = staged(measured(docs.select("lang", "text", whole), "_row"), "measures")
     refs = staged(references(m), "references")
     return judged(m, refs).where("kept").select("_row.*")
 
