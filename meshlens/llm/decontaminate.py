@@ -18,6 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ class Index:
     """Everything a task needs to search one block of items."""
 
     def __init__(self, ids: list[int], texts: list[str], max_edit: float, min_words: int):
-        w = kernels.words(pa.array(texts, pa.large_string()), kernels.NON_ALNUM)
+        w = split(pa.array(texts, pa.large_string()))
         words = [w.hash[w.first[i] : w.first[i + 1]] for i in range(len(texts))]
         kept = [i for i, x in enumerate(words) if len(x) >= min_words]
         self.ids, self.words, self.max_edit = ids, words, max_edit
@@ -125,6 +126,10 @@ class Index:
         return [(doc, item, *place) for (doc, item), place in sorted(best.items())]
 
 
+def split(texts: pa.Array) -> kernels.Words:
+    return kernels.words(pc.utf8_lower(texts), kernels.NON_ALNUM)
+
+
 def pair_hashes(words: np.ndarray) -> np.ndarray:
     return kernels.mix(words[:-1] * np.uint64(3) + (words[1:] ^ np.uint64(0x2545F491)))
 
@@ -162,7 +167,7 @@ def _search(index):
     def run(batches):
         for batch in batches:
             for row, texts in kernels.chunks(batch, "text"):
-                rows = index.value.search(kernels.words(texts, kernels.NON_ALNUM))
+                rows = index.value.search(split(texts))
                 if rows:
                     docs = batch.column("doc_id").take(pa.array([row + x[0] for x in rows], pa.int64()))
                     item, distance, begin, end = zip(*[x[1:] for x in rows])
@@ -177,7 +182,7 @@ def _search(index):
 def leaks(docs: DataFrame, benchmark: DataFrame, max_edit: float = 0.2, min_words: int = 8) -> DataFrame:
     """Places of ``benchmark`` items (item_id, text) in ``docs`` (doc_id, text).
 
-    Words are runs of ASCII letters and digits and of all other characters beyond ASCII, lower-cased in ASCII.
+    Words are runs of ASCII letters and digits and of all characters beyond ASCII, lower-cased.
     An item of n words is found where an edit distance over words of at most ``floor(max_edit * n)`` is left; items
     of fewer than ``min_words`` words, or null, can't be told from chance and are never found. Returns one row
     per row of ``docs`` and item: doc_id, item_id, distance, start_word, end_word of the nearest place (the
@@ -215,7 +220,7 @@ def _without(index):
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             for row, texts in kernels.chunks(batch, "text"):
-                for found in index.value.search(kernels.words(texts, kernels.NON_ALNUM)):
+                for found in index.value.search(split(texts)):
                     keep[row + found[0]] = False
             yield batch.filter(pa.array(keep))
 
