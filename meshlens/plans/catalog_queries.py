@@ -1,11 +1,529 @@
-"""Registered queries of the traffic engine."""
+"""Registered queries of the traffic engine over the driver's tables, each with the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from meshlens.functions import aggregates, labels, net, numbers, times
+from meshlens.operators import graphs, presets, rollups, series, top
+from meshlens.sources import facts
 
-def oracle_sql():
-    return {}
+#: The queries' time: the first half of 1996 in weeks; January 2024 in hours for transactions.
+START, STOP, WEEK = 820_454_400_000, 836_179_200_000, 604_800_000
+TX_START, TX_STOP, HOUR = 1_704_067_200_000, 1_704_672_000_000, 3_600_000
+TEN8, NET192 = 10 << 24, 3_232_235_520
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        text = sql
+        if text is not None:
+            views = [v for k, v in (("traffic", facts.TRAFFIC_SQL), ("tx", facts.TRANSACTIONS_SQL)) if f" {k}" in f" {text}"]
+            text = f"WITH {', '.join(views)}{', ' if text.startswith('+') else ' '}{text.lstrip('+')}" if views else text
+        _QUERIES[f.__name__] = (f, text)
+        return f
+
+    return add
+
+
+def _clip(value: str, a: int = START, b: int = STOP) -> str:
+    first = f"(CASE WHEN start < {a} THEN ({value}) * (stop - {a}) // greatest(stop - start, 1) ELSE ({value}) END)"
+    return (
+        f"(CASE WHEN stop > {b} THEN {first} * ({b} - greatest(start, {a})) // greatest(stop - greatest(start, {a}), 1) ELSE {first} END)"
+    )
+
+
+INSIDE = f"stop >= {START} AND start < {STOP}"
+
+
+def _inside(spark, d):
+    return presets.traffic(facts.traffic(spark, d), start=START, stop=STOP)
+
+
+# Scans, projections and preset filters
+
+
+@_query("SELECT start, stop, ip_src, eth_payload FROM traffic WHERE ip_proto = 6")
+def scan_project(spark, d):
+    return presets.traffic(facts.traffic(spark, d), ip_proto=6).select("start", "stop", "ip_src", "eth_payload")
+
+
+@_query("SELECT count(*) AS n, CAST(sum(packets) AS BIGINT) AS packets FROM traffic WHERE (packets + 1) * 2 > 60 AND eth_payload // packets >= 1000")
+def filter_expr_arith(spark, d):
+    out = presets.traffic(facts.traffic(spark, d), where="(packets + 1) * 2 > 60 AND eth_payload div packets >= 1000")
+    return out.agg(F.count("*").alias("n"), aggregates.sum_int(F.col("packets")).alias("packets"))
+
+
+@_query("SELECT ip_proto, count(*) AS n FROM traffic WHERE NOT (ip_proto = 6 OR port_dst <> 200) OR mtu > 1405 GROUP BY 1")
+def filter_expr_logic(spark, d):
+    out = presets.traffic(facts.traffic(spark, d), where="NOT (ip_proto = 6 OR port_dst <> 200) OR mtu > 1405")
+    return out.groupBy("ip_proto").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT name, count(*) AS n FROM tx WHERE starts_with(name, 's') GROUP BY 1")
+def filter_starts_with(spark, d):
+    return presets.transactions(facts.transactions(spark, d), where="startswith(name, 's')").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT name, count(*) AS n FROM tx WHERE contains(name, 'i') GROUP BY 1")
+def filter_contains(spark, d):
+    return presets.transactions(facts.transactions(spark, d), where=F.col("name").contains("i")).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT start, stop, packets FROM traffic WHERE {INSIDE}")
+def time_overlap(spark, d):
+    return _inside(spark, d).select("start", "stop", "packets")
+
+
+@_query(f"SELECT ip_src, count(*) AS n FROM traffic WHERE ip_src >> 5 = {TEN8 >> 5} GROUP BY 1")
+def in_cidr(spark, d):
+    return presets.traffic(facts.traffic(spark, d), ip_src=(TEN8, 27)).groupBy("ip_src").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT m, count(*) AS n FROM (SELECT ip_clt, CAST(24 + event_id % 8 AS INT) AS m FROM tx) WHERE ip_clt >> (32 - least(m, 26)) = ({NET192} + 64) >> (32 - least(m, 26)) GROUP BY 1")
+def inter_cidr(spark, d):
+    rows = facts.transactions(spark, d).select("ip_clt", (24 + F.col("event_id") % 8).cast("int").alias("m"))
+    return rows.where(net.inter_cidr(F.col("ip_clt"), F.col("m"), NET192 + 64, 26)).groupBy("m").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT count(*) AS n FROM traffic WHERE ip_src = {TEN8 + 3} OR ip_dst = {TEN8 + 3} OR ip_src >> 8 = {NET192 >> 8} OR ip_dst >> 8 = {NET192 >> 8}")
+def either_side_ip(spark, d):
+    rows = facts.traffic(spark, d)
+    host = presets.traffic(rows, ip=TEN8 + 3)
+    others = presets.traffic(presets.traffic(rows, ip=(NET192, 24)), where=F.col("ip_src") != TEN8 + 3)
+    return host.unionByName(others).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT port_src, port_dst, count(*) AS n FROM traffic WHERE port_src = 1100 OR port_dst = 1100 GROUP BY 1, 2")
+def either_side_port(spark, d):
+    return presets.traffic(facts.traffic(spark, d), port=1100).groupBy("port_src", "port_dst").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT vlan, count(*) AS n FROM traffic WHERE vlan IS NULL OR vlan = 3 GROUP BY 1")
+def vlan_null_safe(spark, d):
+    rows = facts.traffic(spark, d)
+    both = presets.traffic(rows, no_vlan=True).unionByName(presets.traffic(rows, vlan=3))
+    return both.groupBy("vlan").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT name, error, count(*) AS n FROM tx WHERE suffix(name, 'up') OR (error = 3 AND suffix(name, 'or')) GROUP BY 1, 2")
+def qname_suffix(spark, d):
+    rows = facts.transactions(spark, d)
+    return presets.transactions(rows, qname="up").unionByName(presets.transactions(rows, qname="or", error=3)).groupBy("name", "error").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n, count(DISTINCT url) AS urls FROM pages WHERE starts_with(url, 'https://blog')")
+def url_prefix(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("url")
+    return pages.where(F.col("url").startswith("https://blog")).agg(F.count("*").alias("n"), F.count_distinct("url").alias("urls"))
+
+
+@_query("SELECT split_part(url, '?', 1) AS url, count(*) AS n FROM pages GROUP BY 1")
+def shorten_url(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet").groupBy(labels.shorten_url(F.col("url")).alias("url")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT ip_srv, count(*) AS n FROM tx WHERE rt >= 0.05 AND rt <= 0.1 GROUP BY 1")
+def rt_range(spark, d):
+    return presets.transactions(facts.transactions(spark, d), rt_min=0.05, rt_max=0.1, rt="rt").groupBy("ip_srv").agg(F.count("*").alias("n"))
+
+
+# Aggregates
+
+
+@_query("SELECT ip_proto, vlan, max(mtu) AS mx, min(mtu) AS mn, CAST(sum(packets) AS BIGINT) AS s, CAST(sum(eth_payload) AS BIGINT) // count(*) AS a, count(*) AS n FROM traffic GROUP BY 1, 2")
+def agg_int_all(spark, d):
+    a = aggregates
+    return facts.traffic(spark, d).groupBy("ip_proto", "vlan").agg(
+        a.max_int(F.col("mtu")).alias("mx"), a.min_int(F.col("mtu")).alias("mn"), a.sum_int(F.col("packets")).alias("s"),
+        a.avg_int(F.col("eth_payload")).alias("a"), F.count("*").alias("n"),
+    )
+
+
+@_query("SELECT port_dst, CAST(sum(packets) AS BIGINT) // count(*) AS a FROM traffic GROUP BY 1")
+def agg_avg_int_trunc(spark, d):
+    return facts.traffic(spark, d).groupBy("port_dst").agg(aggregates.avg_int(F.col("packets")).alias("a"))
+
+
+@_query("SELECT ip_proto, min(start) AS first, max(stop) AS last FROM traffic GROUP BY 1")
+def agg_bounds(spark, d):
+    return facts.traffic(spark, d).groupBy("ip_proto").agg(F.min("start").alias("first"), F.max("stop").alias("last"))
+
+
+_DIST = "count(*) AS n, round(min(rt), 6) AS lo, round(max(rt), 6) AS hi, round(avg(rt), 6) AS av, round(var_pop(rt) * count(*), 4) AS m2"
+
+
+def _flat(out: DataFrame, *keys: str) -> DataFrame:
+    r = F.col("rt")
+    return out.select(*keys, r["count"].alias("n"), *[F.round(r[c], k).alias(x) for c, k, x in (("min", 6, "lo"), ("max", 6, "hi"), ("avg", 6, "av"), ("m2", 4, "m2"))])
+
+
+@_query(f"SELECT name, {_DIST} FROM tx GROUP BY 1")
+def distribution_build(spark, d):
+    return _flat(facts.transactions(spark, d).groupBy("name").agg(aggregates.distribution(F.col("rt")).alias("rt")), "name")
+
+
+@_query(f"SELECT ip_srv, {_DIST} FROM tx GROUP BY 1")
+def distribution_merge(spark, d):
+    parts = facts.transactions(spark, d).groupBy("ip_srv", "name").agg(aggregates.distribution(F.col("rt")).alias("rt"))
+    return _flat(aggregates.merge_distributions(parts, ["ip_srv"], "rt"), "ip_srv")
+
+
+@_query("SELECT ip_srv, start // 3600000 AS h, round(coalesce(stddev_samp(rt), 0), 6) AS sd FROM tx GROUP BY 1, 2")
+def std_dev_zero(spark, d):
+    rows = facts.transactions(spark, d).groupBy("ip_srv", times.div(F.col("start"), HOUR).alias("h")).agg(aggregates.distribution(F.col("rt")).alias("rt"))
+    return rows.select("ip_srv", "h", F.round(aggregates.std_dev(F.col("rt.count"), F.col("rt.m2")), 6).alias("sd"))
+
+
+# Time series
+
+_ROWS = (TX_STOP - TX_START) // HOUR + 1
+
+
+@_query(f"""+b AS (SELECT (start - {TX_START}) // {HOUR} AS row, count(*) AS count, min(rt) AS lo, max(rt) AS hi, avg(rt) AS av, coalesce(stddev_samp(rt), 0) AS sd
+ FROM tx WHERE start >= {TX_START} AND start < {TX_STOP} GROUP BY 1)
+SELECT r AS row, coalesce(count, 0) AS count, round(coalesce(lo, 0), 6) AS lo, round(coalesce(hi, 0), 6) AS hi, round(coalesce(av, 0), 6) AS av, round(coalesce(sd, 0), 6) AS sd
+ FROM range({_ROWS}) t(r) LEFT JOIN b ON b.row = r""")
+def per_date_resp_time(spark, d):
+    out = series.per_date(facts.transactions(spark, d), "rt", TX_START, TX_STOP, HOUR)
+    return out.select("row", "count", *[F.round(c, 6).alias(x) for c, x in (("min", "lo"), ("max", "hi"), ("avg", "av"), ("std", "sd"))])
+
+
+def _spread_sql(keys: str, value: str = "eth_payload", rounded: bool = True, source: str = "traffic") -> str:
+    half = " + (z - a + 1) // 2" if rounded else ""
+    return f"""c AS (SELECT {keys}, {_clip(value)} AS y0, (greatest(start, {START}) - {START}) // {WEEK} AS a,
+ greatest((greatest(start, {START}) - {START}) // {WEEK}, (least(stop, {STOP}) - {START}) // {WEEK} - 1) AS z FROM {source} WHERE {INSIDE}),
+s AS (SELECT {keys.split(' AS ')[-1]} AS k, row, CAST(sum(y1) AS BIGINT) AS y FROM (SELECT *, (y0{half}) // (z - a + 1) AS y1, unnest(range(a, z + 1)) AS row FROM c) GROUP BY 1, 2)"""
+
+
+def _ranked_sql(n: int) -> str:
+    return f""", p AS (SELECT k, max(y) AS peak FROM s GROUP BY 1 ORDER BY 2 DESC, k NULLS FIRST LIMIT {n - 1})
+SELECT CASE WHEN p.peak IS NOT NULL THEN s.k END AS k, p.peak IS NULL AS is_others, row, CAST(sum(y) AS BIGINT) AS y
+ FROM s LEFT JOIN p ON s.k IS NOT DISTINCT FROM p.k GROUP BY 1, 2, 3"""
+
+
+@_query("+" + _spread_sql("least(port_src, port_dst) AS k") + _ranked_sql(4))
+def per_time_app(spark, d):
+    rows = _inside(spark, d).withColumn("k", F.least("port_src", "port_dst"))
+    return series.ranked(series.spread(rows, ["k"], "eth_payload", START, STOP, WEEK), "k", 4)
+
+
+@_query("+" + _spread_sql("mac_src AS k") + _ranked_sql(5))
+def per_time_eth(spark, d):
+    return series.ranked(series.spread(_inside(spark, d).withColumnRenamed("mac_src", "k"), ["k"], "eth_payload", START, STOP, WEEK), "k", 5)
+
+
+@_query("+" + _spread_sql("ip_src AS k", rounded=False) + f""", v AS (SELECT ip_src, sum({_clip('eth_payload')}) AS v FROM traffic WHERE {INSIDE} GROUP BY 1),
+g AS (SELECT ip_src FROM v WHERE v >= (SELECT CAST(sum(v) AS BIGINT) // 60 FROM v))
+SELECT CASE WHEN g.ip_src IS NOT NULL THEN k END AS k, row, CAST(sum(y) AS BIGINT) AS y FROM s LEFT JOIN g ON k = g.ip_src GROUP BY 1, 2""")
+def per_time_ip_others(spark, d):
+    rows = _inside(spark, d).withColumnRenamed("ip_src", "k")
+    big = top.significant(rows.select("k", top.clipped(F.col("eth_payload"), START, STOP).alias("y")), ["k"], "y", 60).where("NOT is_rest")
+    s = series.spread(rows, ["k"], "eth_payload", START, STOP, WEEK, rounded=False)
+    out = s.join(F.broadcast(big.select(F.col("k").alias("g"))), F.col("k") == F.col("g"), "left")  # at most 60 keys
+    return out.groupBy(F.col("g").alias("k"), "row").agg(F.sum("y").cast("long").alias("y"))
+
+
+@_query(f"SELECT ip_proto, CAST(sum({_clip('eth_payload')}) AS BIGINT) AS y FROM traffic WHERE {INSIDE} GROUP BY 1")
+def clip_total(spark, d):
+    y = top.clipped(F.col("eth_payload"), START, STOP)
+    return _inside(spark, d).groupBy("ip_proto").agg(F.sum(y).cast("long").alias("y"))
+
+
+@_query("+" + _spread_sql("ip_proto AS k") + f" SELECT k, row, y, round(y / {WEEK / 1000}, 6) AS rate FROM s")
+def rate_per_sec(spark, d):
+    s = series.spread(_inside(spark, d).withColumnRenamed("ip_proto", "k"), ["k"], "eth_payload", START, STOP, WEEK)
+    return series.rates(s, WEEK).withColumn("rate", F.round("rate", 6))
+
+
+@_query("+" + _spread_sql("ip_proto AS k") + " SELECT k, row, y, CAST(sum(y) OVER (PARTITION BY row ORDER BY k) AS BIGINT) AS stacked FROM s")
+def stacked_running_sum(spark, d):
+    s = series.spread(_inside(spark, d).withColumnRenamed("ip_proto", "k"), ["k"], "eth_payload", START, STOP, WEEK)
+    return top.stacked(s, "k", "row", "y")
+
+
+@_query("+" + _spread_sql("port_dst AS k") + " SELECT k, CAST(sum(y) AS BIGINT) AS total, round(avg(y), 4) AS average, max(y) AS peak, row_number() OVER (ORDER BY max(y) DESC, k) AS rank FROM s GROUP BY k")
+def series_positions(spark, d):
+    s = series.spread(_inside(spark, d).withColumnRenamed("port_dst", "k"), ["k"], "eth_payload", START, STOP, WEEK)
+    return series.positions(s, "k").withColumns({"average": F.round("average", 4), "rank": F.col("rank").cast("long")})
+
+
+# Top-N
+
+
+@_query("""+v AS (SELECT ip_src, CAST(sum(eth_payload) AS BIGINT) AS v FROM traffic GROUP BY 1), t AS (SELECT CAST(sum(v) AS BIGINT) // 80 AS t FROM v)
+SELECT CASE WHEN v >= t THEN ip_src END AS ip_src, v < t AS is_rest, CAST(sum(v) AS BIGINT) AS v FROM v, t GROUP BY 1, 2""")
+def significant_keys(spark, d):
+    return top.significant(facts.traffic(spark, d), ["ip_src"], "eth_payload", 80)
+
+
+def _top_sql(keys: list[str], sort: str, aggs: dict[str, str], n: int, where: str, clip: bool) -> str:
+    k, value = ", ".join(keys), _clip(sort) if clip else sort
+    a = ", ".join(f"{x} AS {name}" for name, x in aggs.items())
+    same = " AND ".join(f"f.{x} IS NOT DISTINCT FROM b.{x}" for x in keys)
+    shown = ", ".join(f"CASE WHEN b.y IS NOT NULL THEN f.{x} END AS {x}" for x in keys)
+    return f"""+f AS (SELECT * FROM traffic WHERE {where}), b AS (SELECT {k}, sum({value}) AS y FROM f GROUP BY ALL ORDER BY y DESC, {', '.join(f'{x} NULLS FIRST' for x in keys)} LIMIT {n}),
+m AS (SELECT f.* EXCLUDE ({k}), {shown}, b.y IS NOT NULL AS best FROM f LEFT JOIN b ON {same})
+SELECT {k}, CASE WHEN best THEN 'key' ELSE 'others' END AS kind, CAST(sum({value}) AS BIGINT) AS sort_value, {a} FROM m GROUP BY best, {k}
+UNION ALL SELECT {', '.join('NULL' for _ in keys)}, 'total', CAST(sum({value}) AS BIGINT), {', '.join(aggs.values())} FROM f"""
+
+
+_AGGS = {"packets": "CAST(sum(packets) AS BIGINT)", "mtu": "max(mtu)", "size": "CAST(sum(eth_payload) AS BIGINT) // count(eth_payload)"}
+_AGGREGATES = {"packets": ("sum", "packets"), "mtu": ("max", "mtu"), "size": ("avg", "eth_payload")}
+
+
+@_query(_top_sql(["ip_src"], "eth_payload", _AGGS, 10, "ip_proto = 6", False))
+def top_others_total(spark, d):
+    return top.top(presets.traffic(facts.traffic(spark, d), ip_proto=6), ["ip_src"], _AGGREGATES, "eth_payload", 10)
+
+
+@_query(_top_sql(["vlan", "port_dst"], "packets", _AGGS, 12, INSIDE, True))
+def top_single_pass(spark, d):
+    return top.top(_inside(spark, d), ["vlan", "port_dst"], _AGGREGATES, "packets", 12, START, STOP)
+
+
+@_query("SELECT event_id, ip_srv, name, rt FROM tx ORDER BY rt, event_id LIMIT 30")
+def top_requests_asc(spark, d):
+    return top.top_rows(facts.transactions(spark, d), "rt", 30, False, "event_id").select("event_id", "ip_srv", "name", "rt")
+
+
+@_query("SELECT event_id, ip_srv, name, rt FROM tx ORDER BY rt DESC, event_id LIMIT 30")
+def top_requests_desc(spark, d):
+    return top.top_rows(facts.transactions(spark, d), "rt", 30, True, "event_id").select("event_id", "ip_srv", "name", "rt")
+
+
+@_query("SELECT name, CAST(floor(rt / 0.01) AS BIGINT) AS bucket, count(*) AS n FROM tx GROUP BY 1, 2")
+def resp_time_histogram(spark, d):
+    return series.histogram(facts.transactions(spark, d), "name", "rt", 0.01)
+
+
+@_query("+v AS (SELECT port_dst, CAST(sum(packets) AS BIGINT) AS v FROM traffic GROUP BY 1) SELECT port_dst, v, CAST(sum(v) OVER () AS BIGINT) AS total, round(v / sum(v) OVER (), 9) AS share, round(v / max(v) OVER (), 9) AS weight FROM v")
+def share_of_total(spark, d):
+    v = facts.traffic(spark, d).groupBy("port_dst").agg(F.sum("packets").cast("long").alias("v"))
+    return top.weights(top.share(v, "v"), "v").withColumns({"share": F.round("share", 9), "weight": F.round("weight", 9)})
+
+
+@_query(None)
+def heavy_hitters_approx(spark, d):
+    return top.heavy_hitters(facts.traffic(spark, d), "ip_src", "eth_payload", 120)
+
+
+# Graphs
+
+
+@_query("SELECT ip_src, ip_dst, CAST(sum(eth_payload) AS BIGINT) AS y FROM traffic GROUP BY 1, 2")
+def peers_ip(spark, d):
+    return graphs.peers(facts.traffic(spark, d), "ip_src", "ip_dst", "eth_payload")
+
+
+@_query("SELECT mac_src, mac_dst, CAST(sum(eth_payload) AS BIGINT) AS y FROM traffic GROUP BY 1, 2")
+def peers_mac(spark, d):
+    return graphs.peers(facts.traffic(spark, d), "mac_src", "mac_dst", "eth_payload")
+
+
+def _graph_sql(having: str = "") -> str:
+    y = _clip("eth_payload")
+    return f"""SELECT greatest(mac_src, mac_dst) AS node1, least(mac_src, mac_dst) AS node2, CAST(sum(CASE WHEN mac_src >= mac_dst THEN {y} ELSE -{y} END) AS BIGINT) AS y
+ FROM traffic WHERE {INSIDE} GROUP BY 1, 2{having}"""
+
+
+@_query(_graph_sql())
+def network_graph_signed(spark, d):
+    return graphs.network_graph(_inside(spark, d), "mac_src", "mac_dst", "eth_payload", START, STOP, descending=True)
+
+
+@_query(_graph_sql(" HAVING y >= 20000000"))
+def network_graph_min_volume(spark, d):
+    return graphs.network_graph(_inside(spark, d), "mac_src", "mac_dst", "eth_payload", START, STOP, min_volume=20_000_000, descending=True)
+
+
+def _geo(spark, d) -> DataFrame:
+    """Ranges of 64 addresses of suppliers and customers, with their nation as the country."""
+    nation = spark.read.parquet(f"{d}/nation.parquet")
+    key = F.col("n_nationkey").cast("long")
+    out = None
+    for base in (TEN8, NET192):
+        low = F.lit(base).cast("long") + key * 64
+        part = nation.select(low.alias("low"), (low + 63).alias("high"), F.col("n_name").alias("country"), (key * 1.5).alias("lat"), (key * -2.5).alias("lon"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query(f"""+geo AS (SELECT b + n_nationkey * 64 AS low, b + n_nationkey * 64 + 63 AS high, n_name AS country FROM nation, (VALUES ({TEN8}::BIGINT), ({NET192}::BIGINT)) v(b)),
+r AS (SELECT coalesce(g.country, '') AS a, coalesce(h.country, '') AS b, ip_src, ip_dst, eth_payload AS y FROM traffic LEFT JOIN geo g ON ip_src BETWEEN g.low AND g.high LEFT JOIN geo h ON ip_dst BETWEEN h.low AND h.high),
+o AS (SELECT least(a, b) AS c1, greatest(a, b) AS c2, CASE WHEN a <= b THEN ip_src ELSE ip_dst END AS ip1, CASE WHEN a <= b THEN y ELSE 0 END AS up, CASE WHEN a <= b THEN 0 ELSE y END AS down FROM r)
+SELECT c1, c2, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down, array_to_string(list_slice(list_sort(list_distinct(list(ip1))), 1, 10), ',') AS ips1 FROM o GROUP BY 1, 2 HAVING sum(up) + sum(down) >= 100000""")
+def network_map(spark, d):
+    geo = _geo(spark, d)
+    rows = facts.geo_join(facts.geo_join(facts.traffic(spark, d), "ip_src", geo, "src_"), "ip_dst", geo, "dst_")
+    out = graphs.network_map(rows.withColumnRenamed("eth_payload", "y"), min_volume=100_000)
+    return out.select(F.col("p1.country").alias("c1"), F.col("p2.country").alias("c2"), "up", "down", F.array_join("ips1", ",").alias("ips1"))
+
+
+@_query("""SELECT node, CAST(sum(up) AS BIGINT) AS up, CAST(sum(down) AS BIGINT) AS down FROM (SELECT mac_src AS node, eth_payload AS up, 0 AS down FROM traffic
+ UNION ALL SELECT mac_dst, 0, eth_payload FROM traffic) GROUP BY 1""")
+def peer_totals(spark, d):
+    edges = graphs.peers(facts.traffic(spark, d), "mac_src", "mac_dst", "eth_payload")
+    return graphs.peer_totals(edges, "mac_src", "mac_dst")
+
+
+@_query("SELECT node, count(DISTINCT other) AS degree FROM (SELECT ip_src AS node, ip_dst AS other FROM traffic UNION ALL SELECT ip_dst, ip_src FROM traffic) GROUP BY 1")
+def connected_to(spark, d):
+    return graphs.neighbours(facts.traffic(spark, d), "ip_src", "ip_dst")
+
+
+def _flows(spark, d) -> DataFrame:
+    """Traffic among 40 hosts, with directions both ways."""
+    t = facts.traffic(spark, d)
+    return t.select((F.col("ip_src") % 40).alias("ip_src"), (F.col("ip_dst") % 40).alias("ip_dst"), "start", "stop", F.col("eth_payload").alias("y"))
+
+
+@_query(f"""+f AS (SELECT ip_src % 40 AS ip_src, ip_dst % 40 AS ip_dst, start, stop, eth_payload AS y FROM traffic WHERE start >= {START} AND stop < {START + 4 * WEEK}),
+h1 AS (SELECT * FROM f WHERE ip_src = 7), r1 AS (SELECT ip_dst AS node, min(greatest(start, {START})) AS t0, max(stop) AS t1 FROM h1 GROUP BY 1),
+h2 AS (SELECT f.*, t0 FROM f JOIN r1 ON f.ip_src = node AND f.stop >= t0 AND f.start <= t1 WHERE node <> 7)
+SELECT CAST(1 AS INT) AS hop, ip_src, ip_dst, start, stop, y FROM h1 UNION ALL SELECT 2, ip_src, ip_dst, start, stop, y FROM h2""")
+def callflow(spark, d):
+    """Two hops of the flows that host 7 may have caused in four weeks."""
+    flows = _flows(spark, d).where((F.col("start") >= START) & (F.col("stop") < START + 4 * WEEK))
+    return graphs.callflow(flows, 7, START, START + 4 * WEEK, max_hops=2)
+
+
+# Functions
+
+
+@_query(f"""SELECT CASE WHEN ip_dst >> 8 = {NET192 >> 8} THEN '192.168.0.0/24' WHEN ip_dst >> 9 = {NET192 >> 9} THEN '192.168.0.0/23'
+ ELSE concat_ws('.', (ip_dst >> 24) & 255, (ip_dst >> 16) & 255, (ip_dst >> 8) & 255, ip_dst & 255) END AS subnet, count(*) AS n FROM traffic GROUP BY 1""")
+def subnet_blur(spark, d):
+    return facts.traffic(spark, d).groupBy(net.blur(F.col("ip_dst"), [(NET192, 24), (NET192, 23)]).alias("subnet")).agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT s_suppkey, unnest(range(({TEN8} + s_suppkey * 4) // 4 * 4, ({TEN8} + s_suppkey * 4) // 4 * 4 + 4)) AS ip FROM supplier")
+def expand_cidr(spark, d):
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet")
+    ip = F.lit(TEN8).cast("long") + F.col("s_suppkey") * 4
+    return suppliers.select("s_suppkey", F.explode(net.addresses(ip, F.lit(30))).alias("ip"))
+
+
+@_query("SELECT event_id, start // 60000 * 60000 AS lo, -(-start // 60000) * 60000 + CASE WHEN start % 60000 > 0 THEN 60000 ELSE 0 END AS hi FROM tx")
+def round_ts(spark, d):
+    return facts.transactions(spark, d).select("event_id", times.floor_to(F.col("start"), 60_000).alias("lo"), times.ceil_to(F.col("start"), 60_000).alias("hi"))
+
+
+@_query(f"""SELECT start // {WEEK} * {WEEK} AS a, CASE WHEN (stop + {WEEK} - 1) // {WEEK} * {WEEK} = start // {WEEK} * {WEEK} THEN start // {WEEK} * {WEEK} + {WEEK}
+ ELSE (stop + {WEEK} - 1) // {WEEK} * {WEEK} END AS b, count(*) AS n FROM traffic GROUP BY 1, 2""")
+def round_interval(spark, d):
+    a, b = times.round_interval(F.col("start"), F.col("stop"), WEEK)
+    return facts.traffic(spark, d).groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
+
+
+@_query("""SELECT eth_proto, ip_proto, port_dst, CASE eth_proto WHEN 2048 THEN 'IPv4' WHEN 2054 THEN 'ARP' END AS proto,
+ CASE ip_proto WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' ELSE 'icmp' END || '/' || CASE port_dst WHEN 100 THEN 'newacct' ELSE CAST(port_dst AS VARCHAR) END AS app, count(*) AS n FROM traffic GROUP BY ALL""")
+def labels_proto(spark, d):
+    rows = facts.traffic(spark, d).groupBy("eth_proto", "ip_proto", "port_dst").agg(F.count("*").alias("n"))
+    return rows.withColumns({"proto": labels.eth_proto(F.col("eth_proto")), "app": labels.app_key(F.col("ip_proto"), F.col("port_dst"))})
+
+
+@_query("""SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'GET' WHEN 1 THEN 'HEAD' WHEN 2 THEN 'POST' WHEN 3 THEN 'CONNECT' WHEN 4 THEN 'PUT' WHEN 5 THEN 'OPTIONS' WHEN 6 THEN 'TRACE' ELSE 'DELETE' END || ' http://h/' || name AS request,
+ CASE WHEN error = 0 THEN '' ELSE CAST(error AS VARCHAR) END AS err, 'h' || CASE WHEN event_id % 3 = 0 THEN '' ELSE ':' || CAST(80 + event_id % 3 AS VARCHAR) END || '/' || name AS url FROM tx""")
+def labels_request(spark, d):
+    t = facts.transactions(spark, d)
+    path, port = F.concat(F.lit("/"), "name"), (80 + F.col("event_id") % 3)
+    return t.select(
+        "event_id", labels.request((F.col("event_id") % 8).cast("int"), F.lit("h"), path, 60).alias("request"),
+        labels.error(F.col("error"), 0).alias("err"), labels.url_name(F.lit("h"), port, path).alias("url"),
+    )
+
+
+@_query("""SELECT l_quantity AS q, CASE WHEN l_quantity * 100 >= 1000 THEN regexp_replace(printf('%.3f', l_quantity / 10), '\\.?0+$', '') || 'k' ELSE CAST(CAST(l_quantity * 100 AS BIGINT) AS VARCHAR) END AS text, count(*) AS n FROM lineitem GROUP BY 1, 2""")
+def format_number(spark, d):
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").alias("q"))
+    return lines.groupBy("q", numbers.number(F.col("q") * 100).alias("text")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT start, strftime(make_timestamp(start * 1000), '%Y-%m-%d %H:%M') || CASE WHEN start % 1000 <> 0 THEN strftime(make_timestamp(start * 1000), ':%S.%g') WHEN start % 60000 <> 0 THEN strftime(make_timestamp(start * 1000), ':%S') ELSE '' END AS text FROM tx")
+def format_time(spark, d):
+    return facts.transactions(spark, d).select("start", times.format_millis(F.col("start")).alias("text"))
+
+
+# Rollups and storage
+
+_KEYS = ["ip_src", "ip_proto", "vlan"]
+
+
+def _rollup_sql(step: int) -> str:
+    return f"""SELECT ip_src, ip_proto, vlan, start // {step} * {step} AS start, CASE WHEN (stop + {step} - 1) // {step} * {step} = start // {step} * {step} THEN start // {step} * {step} + {step}
+ ELSE (stop + {step} - 1) // {step} * {step} END AS stop, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(eth_payload) AS BIGINT) AS eth_payload, max(mtu) AS mtu FROM traffic GROUP BY 1, 2, 3, 4, 5"""
+
+
+@_query(_rollup_sql(86_400_000))
+def lod1_rollup(spark, d):
+    return rollups.traffic_rollup(facts.traffic(spark, d), _KEYS, 86_400_000)
+
+
+@_query(_rollup_sql(WEEK))
+def lod2_from_lod1(spark, d):
+    return rollups.traffic_rollup(rollups.traffic_rollup(facts.traffic(spark, d), _KEYS, 86_400_000), _KEYS, WEEK)
+
+
+@_query(f"SELECT ip_srv, name, start // {HOUR} * {HOUR} AS start, {_DIST} FROM tx GROUP BY 1, 2, 3")
+def transaction_rollup(spark, d):
+    rt = F.col("rt")
+    one = F.struct(F.lit(1).cast("long").alias("count"), rt.alias("min"), rt.alias("max"), rt.alias("avg"), F.lit(0.0).alias("m2"))
+    minutes = rollups.transaction_rollup(facts.transactions(spark, d).withColumn("rt", one), ["ip_srv", "name"], 60_000)
+    return _flat(rollups.transaction_rollup(minutes, ["ip_srv", "name"], HOUR), "ip_srv", "name", "start")
+
+
+@_query(f"SELECT '1hour' AS level, start // {HOUR} * {HOUR} AS start, count(*) AS n FROM tx GROUP BY 2")
+def choose_lod(spark, d):
+    level = rollups.level_for("dns", 2 * HOUR)
+    step = rollups.LEVELS["dns"][level]
+    return facts.transactions(spark, d).groupBy(F.lit(level).alias("level"), times.floor_to(F.col("start"), step).alias("start")).agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT start, stop, packets FROM traffic WHERE start >= {START} AND start < {START + WEEK}")
+def zone_prune(spark, d):
+    return facts.traffic(spark, d).where(F.col("start").between(START, START + WEEK - 1)).select("start", "stop", "packets")
+
+
+@_query(f"SELECT CAST(ip_src % 13 AS INT) AS ip_bucket, ip_src, count(*) AS n FROM traffic WHERE ip_src BETWEEN {TEN8 + 4} AND {TEN8 + 7} GROUP BY 1, 2")
+def bucket_prune(spark, d):
+    rows = facts.traffic(spark, d).withColumn("ip_bucket", net.bucket(F.col("ip_src"), 13))
+    wanted = rows.where(F.col("ip_bucket").isin(sorted({(TEN8 + 4 + i) % 13 for i in range(4)})))
+    return presets.traffic(wanted, ip_src=(TEN8 + 4, 30)).groupBy("ip_bucket", "ip_src").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT 'traffic' AS kind, ip_src AS ip, start FROM traffic WHERE ip_proto = 1 UNION ALL SELECT 'dns', ip_srv, start FROM tx")
+def union_transactions(spark, d):
+    flows = presets.traffic(facts.traffic(spark, d), ip_proto=1).select(F.lit("traffic").alias("kind"), F.col("ip_src").alias("ip"), "start")
+    return flows.unionByName(facts.transactions(spark, d).select(F.lit("dns").alias("kind"), F.col("ip_srv").alias("ip"), "start"))
+
+
+@_query("""SELECT q.event_id AS query_id, a.event_id AS answer_id, a.ts_ms - q.ts_ms AS wait FROM (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type = 'view') q
+ JOIN (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type = 'click') a ON q.user_id = a.user_id AND a.ts_ms BETWEEN q.ts_ms AND q.ts_ms + 3600000""")
+def http_match_join(spark, d):
+    """Queries (views) with the answers (clicks) of the same user within an hour."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", times.millis("ts").alias("ms"))
+    q, a = (rows.where(F.col("event_type") == t).alias(x) for t, x in (("view", "q"), ("click", "a")))
+    near = (F.col("q.user_id") == F.col("a.user_id")) & F.col("a.ms").between(F.col("q.ms"), F.col("q.ms") + 3_600_000)
+    return q.join(a, near).select(F.col("q.event_id").alias("query_id"), F.col("a.event_id").alias("answer_id"), (F.col("a.ms") - F.col("q.ms")).alias("wait"))
+
+
+@_query("""SELECT user_id, min(ms) AS start, max(ms) + 3600000 AS stop, count(*) AS packets FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+ (SELECT event_id, user_id, ts, epoch_us(ts) // 1000 AS ms, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def session_gap(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet")
+    out = rows.groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("packets"))
+    return out.select("user_id", times.millis("session_window.start").alias("start"), times.millis("session_window.end").alias("stop"), "packets")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _QUERIES.items() if sql is not None}
