@@ -7,7 +7,8 @@ side lacks); the pairs left are decided by the exact intersection of the sorted
 How it scales: sets that are equal collapse to one class first, so exact copies cost one row each.
 Shingles are ordered by hash with the most frequent ones last, and a set's prefix of
 ``floor((1 - t) n) + 1`` shingles must meet that of any partner, so a bucket holds what shares a rare
-shingle. In each bucket all members are tested against one pivot (linear in the bucket); only buckets
+shingle. One shuffle brings buckets together, those of frequent shingles salted. In each bucket all
+members are tested against one pivot (linear in the bucket), pivots of one shingle with each other's first; only buckets
 that still hold several components after that go on to tiles, salted by the bucket's size, where
 members of different components meet. Pairs inside one component need no test, so a group of N near
 copies never becomes N^2 pairs.
@@ -27,6 +28,8 @@ from .components import connected_components
 
 #: Shingles listed as frequent (they go last in prefixes): at most so many, each in so many sets at least.
 FREQUENT, FREQUENT_DF = 200_000, 64
+#: A frequent shingle's bucket is dealt into so many, each with a pivot of its own.
+SALTS = 64
 #: A tile holds about so many members a side.
 TILE = 1024
 _WORDS = [f"b{i}" for i in range(8)]
@@ -123,27 +126,58 @@ def _prefixes(n: int, percent: int, frequent):
         last, seen = frequent.value, set()
         for batch in batches:
             for _, texts in kernels.chunks(batch, "text"):
-                tokens, keys = [], []
+                tokens, keys, salts = [], [], []
                 for s in shingle_sets(texts, n):
                     if len(s) and (key := class_key(s).view(np.int64)) not in seen:
                         seen.add(key)
+                        size, rare = len(s) * (100 - percent) // 100 + 1, len(s)
                         if len(last):
                             at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                             common = last[at] == s
+                            rare = len(s) - int(common.sum())
                             s = np.concatenate([s[~common], s[common]])
-                        s = s[: len(s) * (100 - percent) // 100 + 1]
+                        s = s[:size]
                         tokens.append(s)
+                        salts.append(np.where(np.arange(len(s)) < rare, 0, 1 + key % SALTS))
                         keys.append(np.full(len(s), key))
                 if len(seen) > 1_000_000:
                     seen.clear()
                 if tokens:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(kernels.signed(np.concatenate(tokens))), pa.array(np.concatenate(keys))], names=["token", "cls"]
+                        [pa.array(kernels.signed(np.concatenate(tokens))), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(keys))],
+                        names=["token", "salt", "cls"],
                     )
 
     return run
 
 
+def _members(batches):
+    """Rows come sorted by (token, salt, cls): each group's first class is its pivot, the others follow it once each.
+
+    Pivots have a row of their own only where the token is salted. Nothing but the last row is held.
+    """
+    token = salt = pivot = before = None
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in ("token", "salt", "cls")]
+        tokens, salts, classes = columns
+        if not len(tokens):
+            continue
+        new = np.empty(len(tokens), bool)
+        new[0] = (tokens[0], salts[0]) != (token, salt)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (salts[1:] != salts[:-1])
+        again = np.empty(len(tokens), bool)
+        again[0] = not new[0] and classes[0] == before
+        again[1:] = ~new[1:] & (classes[1:] == classes[:-1])
+        group = np.cumsum(new) - 1
+        pivots = classes[np.flatnonzero(new)]
+        if not new[0]:
+            pivots, group = np.concatenate([[pivot], pivots]), group + 1
+        own = pivots[group]
+        keep = ~again & (~new | (salts > 0))
+        token, salt, pivot, before = tokens[-1], salts[-1], own[-1], classes[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, salts, own, classes)], names=["token", "salt", "pivot", "cls"])
+
+
 def _sets(n: int, fine: bool):
     """(cls, n, data): the fine bitmap of each set, or its sorted shingles."""
 
@@ -237,10 +271,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     frequent = np.sort(np.array([r.token for r in often.select("token").toLocalIterator()], np.int64).view(np.uint64))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "token long, cls long")
-    buckets = prefixes.groupBy("token").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last")
-    buckets = staged(buckets.select("token", "pivot"), "buckets")
-    members = staged(prefixes.join(small_side(buckets), "token").where("cls <> pivot"), "members")
+    prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "token long, salt int, cls long")
+    prefixes = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
+    members = staged(prefixes.mapInArrow(_members, "token long, salt int, pivot long, cls long"), "members")
+    salted = members.where("salt > 0 AND cls = pivot").select("token", F.col("pivot").alias("b"))
+    heads = salted.join(salted.groupBy("token").agg(F.min("b").alias("a")), "token").where("a <> b").select("a", "b")
 
     shapes = classes.select("cls", "n", *_WORDS)
 
@@ -248,7 +283,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
         found = pairs.join(shapes.alias("x"), F.col("x.cls") == F.col("a")).join(shapes.alias("y"), F.col("y.cls") == F.col("b"))
         return found.where(_may_link("x", "y", percent)).select("a", "b")
 
-    first = possible(members.select(F.col("pivot").alias("a"), F.col("cls").alias("b")).distinct())
+    pairs = members.where("cls <> pivot").select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    first = possible(pairs.union(heads).distinct())
     links = _verified(docs, classes, first, n, percent)
     joined = connected_components(links)
 
