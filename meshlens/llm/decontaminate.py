@@ -114,7 +114,7 @@ class Index:
                 r = int(self.max_edit * len(pattern))
                 if done.get((doc, item), -1) > p:
                     continue
-                low, high = max(int(w.first[doc]), p - r), min(int(w.first[doc + 1]), p + len(pattern) + r)
+                low, high = max(int(w.first[doc]), p - len(pattern)), min(int(w.first[doc + 1]), p + 2 * len(pattern) + r)
                 text = w.hash[low:high].tolist()
                 if sum(x in self.sets[item] for x in text) < len(pattern) - r:
                     continue
