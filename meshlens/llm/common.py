@@ -21,9 +21,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of whole texts that a Python worker gets at once; with very long texts 10,000 don't fit beside each other.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,4 +54,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, found regardless of extra or clashing columns elsewhere in ``df``."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -24,7 +24,7 @@ from . import kernels
 from .common import plain, small_side, staged
 
 #: Ids kept per worker before the table is emptied.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 60_000
 #: Code points in which this module splits words exactly as the tokenizer does; other texts go to it whole.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e -ɏ]|<\|")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ɏ²³¹¼½¾]+")

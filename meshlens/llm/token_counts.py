@@ -24,7 +24,7 @@ UNKNOWN_PENALTY = 10.0
 PLACEHOLDER = -1e8
 _WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 #: Counts kept per worker before the table is emptied.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
