@@ -67,8 +67,8 @@ def bitmap(s: np.ndarray, log2: int = 9) -> np.ndarray:
 
 
 def fine_bitmap(s: np.ndarray) -> bytes:
-    """A bitmap of 8 to 16 bits an element, an eighth of the set's own size."""
-    return bitmap(s, int(len(s)).bit_length() + 3).tobytes()
+    """A bitmap of 2 to 4 bits an element, which rules out pairs that share less than some seven tenths."""
+    return bitmap(s, max(3, int(len(s)).bit_length() + 1)).tobytes()
 
 
 def differing_bits(x: np.ndarray, y: np.ndarray) -> int:
@@ -154,7 +154,8 @@ def _prefixes(n: int, percent: int, frequent):
 def _members(batches):
     """Rows come sorted by (token, salt, cls): each group's first class is its pivot, the others follow it once each.
 
-    Pivots have a row of their own only where the token is salted. Nothing but the last row is held.
+    Pivots have a row of their own only where the token is salted. A lone row is surely the only one of an
+    unsalted group, so its test against the pivot is all that the group asks for. Nothing but the last row is held.
     """
     token = salt = pivot = before = None
     for batch in batches:
@@ -174,8 +175,13 @@ def _members(batches):
             pivots, group = np.concatenate([[pivot], pivots]), group + 1
         own = pivots[group]
         keep = ~again & (~new | (salts > 0))
+        lone = np.bincount(group[keep], minlength=len(pivots)) == 1
+        lone[-1] = False  # groups at either end may go on in another batch
+        lone[0] &= bool(new[0])
+        lone = lone[group] & (salts == 0)
         token, salt, pivot, before = tokens[-1], salts[-1], own[-1], classes[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (tokens, salts, own, classes)], names=["token", "salt", "pivot", "cls"])
+        columns = {"token": tokens, "salt": salts, "pivot": own, "cls": classes, "lone": lone}
+        yield pa.RecordBatch.from_pydict({c: pa.array(x[keep]) for c, x in columns.items()})
 
 
 def _sets(n: int, fine: bool):
@@ -240,8 +246,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, per
             .mapInArrow(_sets(n, fine), "cls long, n long, data binary")
             .join(small_side(needed.select("cls")), "cls", "left_semi")
             .dropDuplicates(["cls"])
-        )
-        data = staged(data, "data")
+        )  # its exchange by cls serves both sides of the pairs
         for side in "ab":
             pairs = pairs.join(data.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("data").alias(f"d{side}")), side)
         pairs = staged(pairs.mapInArrow(_filter(test, percent), "a long, b long"), "links")
@@ -273,7 +278,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
     prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "token long, salt int, cls long")
     prefixes = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
-    members = staged(prefixes.mapInArrow(_members, "token long, salt int, pivot long, cls long"), "members")
+    members = staged(prefixes.mapInArrow(_members, "token long, salt int, pivot long, cls long, lone boolean"), "members")
     salted = members.where("salt > 0 AND cls = pivot").select("token", F.col("pivot").alias("b"))
     heads = salted.join(salted.groupBy("token").agg(F.min("b").alias("a")), "token").where("a <> b").select("a", "b")
 
@@ -289,18 +294,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     joined = connected_components(links)
 
     component = F.coalesce("component", "cls").alias("component")
-    rest = members.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", component)
-    rest = staged(rest.distinct(), "rest")
+    rest = members.where("NOT lone").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
+    rest = staged(rest.select("token", "cls", component), "rest")
     mixed = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
     mixed = staged(mixed.where("lo <> hi").select("token", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "mixed")
     if not mixed.isEmpty():
         tile = rest.join(small_side(mixed), "token").join(shapes, "cls")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
         x = tile.withColumns({"band": band, "salt": F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")})
-        y = tile.withColumn("band", F.explode(F.array(band, band - 1, band + 1)))
+        y = tile.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
         y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))
-        apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.cls") < F.col("y.cls"))
+        once = (F.col("x.band") > F.col("y.own")) | (F.col("x.cls") < F.col("y.cls"))
+        apart = (F.col("x.component") != F.col("y.component")) & once
         more = x.alias("x").join(y.alias("y"), same & apart & _may_link("x", "y", percent))
         more = more.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         links = links.union(_verified(docs, classes, more, n, percent))
