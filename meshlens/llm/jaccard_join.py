@@ -8,9 +8,10 @@ How it scales: sets that are equal collapse to one class first, so exact copies
 Shingles are ordered by hash with the most frequent ones last, and a set's prefix of
 ``floor((1 - t) n) + 1`` shingles must meet that of any partner, so a bucket holds what shares a rare
 shingle. One shuffle brings buckets together, those of frequent shingles salted. In each bucket all
-members are tested against one pivot (linear in the bucket), pivots of one shingle with each other's first; only buckets
-that still hold several components after that go on to tiles, salted by the bucket's size, where
-members of different components meet. Pairs inside one component need no test, so a group of N near
+members are tested against one pivot (linear in the bucket), pivots of one shingle with each other's first. Buckets
+that still hold several components test their members against a second pivot, drawn by shingle, so that a group
+of near copies that shares many shingles meets many pivots. Only buckets that are mixed even then go on to tiles,
+salted by the bucket's size, where members of different components meet. Pairs inside one component need no test, so a group of N near
 copies never becomes N^2 pairs.
 """
 
@@ -293,11 +294,25 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     links = _verified(docs, classes, first, n, percent)
     joined = connected_components(links)
 
-    component = F.coalesce("component", "cls").alias("component")
-    rest = members.where("NOT lone").join(joined.withColumnRenamed("node", "cls"), "cls", "left")
-    rest = staged(rest.select("token", "cls", component), "rest")
-    mixed = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-    mixed = staged(mixed.where("lo <> hi").select("token", F.ceil(F.col("size") / TILE).cast("int").alias("tiles")), "mixed")
+    def still_mixed(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of tokens with several components, and per such token its tiles and a pivot of its own."""
+        component = F.coalesce("component", "cls").alias("component")
+        rest = rest.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("token", "cls", component)
+        rest = staged(rest, "rest")
+        lead = F.min(F.struct(F.xxhash64("token", "cls").alias("order"), "cls", "component")).alias("lead")
+        mixed = rest.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), lead)
+        tiles = F.ceil(F.col("size") / TILE).cast("int").alias("tiles")
+        mixed = mixed.where("lo <> hi").select("token", tiles, F.col("lead.cls").alias("lead"), F.col("lead.component").alias("lead_component"))
+        mixed = staged(mixed, "mixed")
+        return rest, mixed
+
+    rest, mixed = still_mixed(members.where("NOT lone"))
+    if not mixed.isEmpty():
+        led = rest.join(small_side(mixed), "token").where("component <> lead_component")
+        led = led.select(F.least("lead", "cls").alias("a"), F.greatest("lead", "cls").alias("b")).distinct()
+        links = links.union(_verified(docs, classes, possible(led), n, percent))
+        joined = connected_components(links)
+        rest, mixed = still_mixed(rest.select("token", "cls"))
     if not mixed.isEmpty():
         tile = rest.join(small_side(mixed), "token").join(shapes, "cls")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
