@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,12 +67,13 @@ def neighbours(edges: DataFrame, a: str, b: str) -> DataFrame:
     return both.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def callflow(flows: DataFrame, host: int, start: int, stop: int, max_hops: int = 16) -> DataFrame:
+def callflow(flows: DataFrame, host: int, start: int, stop: int, max_hops: int | None = None) -> DataFrame:
     """Flows that ``host`` may have caused within [start, stop[: (hop, ip_src, ip_dst, start, stop, y).
 
-    Breadth first: each hop takes all flows from its hosts within the time in which they were first reached until
-    the last flow that reached them; every host is expanded once, with its earliest window. The frontier of a hop and
-    the hosts seen are checkpointed tables; nothing but "is it empty" reaches the driver.
+    Breadth first: each hop takes all flows from its hosts that overlap the time in which they were first reached until
+    the last flow that reached them, never beyond ``stop``; every host is expanded once, with its earliest
+    window. It goes on until no new host is left, or for ``max_hops``. The frontier of a hop and the hosts
+    seen are checkpointed tables; nothing but "is it empty" reaches the driver.
     """
     spark = flows.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
@@ -81,13 +84,13 @@ def callflow(flows: DataFrame, host: int, start: int, stop: int, max_hops: int =
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     frontier = spark.createDataFrame([(host, start, stop - 1)], "node long, t0 long, t1 long")
     seen, out = frontier.select("node"), None
-    for hop in range(1, max_hops + 1):
+    for hop in itertools.count(1) if max_hops is None else range(1, max_hops + 1):
         found = flows.join(frontier, (flows.ip_src == frontier.node) & (flows.stop >= frontier.t0) & (flows.start <= frontier.t1))
         found = found.select(F.lit(hop).alias("hop"), "ip_src", "ip_dst", "start", "stop", "y", "t0").checkpoint()
         if found.isEmpty():
             break
         out = found.drop("t0") if out is None else out.unionByName(found.drop("t0"))
-        reach = found.groupBy(F.col("ip_dst").alias("node")).agg(F.min(F.greatest("start", "t0")).alias("t0"), F.max("stop").alias("t1"))
+        reach = found.groupBy(F.col("ip_dst").alias("node")).agg(F.min(F.greatest("start", "t0")).alias("t0"), F.max(F.least("stop", F.lit(stop - 1))).alias("t1"))
         frontier = reach.join(seen, "node", "left_anti").checkpoint()
         seen = seen.unionByName(frontier.select("node"))
         if frontier.isEmpty():
