@@ -46,9 +46,10 @@ class WordIds(dict):
         return ids
 
     def of_text(self, text: str) -> bytes:
-        if _PLAIN.search(text):
+        low = text.lower()  # some plain capitals have lower-case forms that aren't
+        if _PLAIN.search(low):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
+        return b"".join(map(self.__getitem__, _SPLIT.findall(low)))
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
