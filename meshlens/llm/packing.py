@@ -11,6 +11,7 @@ length, however frequent, is gathered in one task.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 
@@ -23,33 +24,62 @@ from pyspark.sql import functions as F
 from . import kernels
 from .common import plain, small_side, staged
 
-#: Ids kept per worker before the table is emptied.
-KEPT_WORDS = 60_000
+#: Bytes of words and ids that a worker keeps a generation; it keeps two.
+GENERATION_BYTES = 48_000_000
+#: What a kept word takes beside its letters and ids: two objects and its place in the table.
+ENTRY_BYTES = 190
 #: Code points in which this module splits words exactly as the tokenizer does; other texts go to it whole.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e -ɏ]|<\|")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ɏ²³¹¼½¾]+")
 
 
-class WordIds(dict):
-    """Ids of words as bytes (little-endian unsigned 32-bit), by the tokenizer at ``path``."""
+class WordIds:
+    """Ids of texts as bytes (little-endian unsigned 32-bit), by the tokenizer at ``path``.
+
+    Words met keep their ids in two generations of bounded bytes: when the younger one is full it becomes the elder,
+    and words looked up in the elder move on, so that words in use stay. Words unknown so far go to the tokenizer together.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = ids
-        return ids
+        self.young: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
+        self.size = 0
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _ids(self, words: set[str]) -> dict[str, bytes]:
+        """A table that has ``words``."""
+        new = [x for x in words if x not in self.young]
+        moved = {x: self.elder[x] for x in new if x in self.elder}
+        unknown = [x for x in new if x not in moved]
+        moved.update(zip(unknown, self._encoded(unknown)))
+        self.size += sum(len(x) + len(ids) + ENTRY_BYTES for x, ids in moved.items())
+        self.young.update(moved)
+        table = self.young
+        if self.size > GENERATION_BYTES:
+            self.elder, self.young, self.size = self.young, {}, 0
+        return table
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; equal texts are encoded once."""
+        done, split = dict.fromkeys(texts, b""), {}
+        for text in done:
+            low = text.lower()  # some plain capitals have lower-case forms that aren't
+            if "<|" not in low if low.isascii() and low.isprintable() else not _PLAIN.search(low):
+                split[text] = _SPLIT.findall(low)
+        whole = [x for x in done if x not in split]
+        done.update(zip(whole, self._encoded(whole)))
+        table = self._ids(set().union(*split.values()))
+        done.update((x, b"".join(map(table.__getitem__, words))) for x, words in split.items())
+        return [done[x] for x in texts]
 
     def of_text(self, text: str) -> bytes:
-        low = text.lower()  # some plain capitals have lower-case forms that aren't
-        if _PLAIN.search(low):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _SPLIT.findall(low)))
+        return self.of_texts([text])[0]
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -61,14 +91,16 @@ def _pieces(path: str, capacity: int):
 
     def run(batches):
         if path not in _TOKENIZERS:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             _TOKENIZERS[path] = WordIds(path)
         ids = _TOKENIZERS[path]
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows = []
-            docs = batch.column("doc_id").to_pylist()
-            for doc, text in zip(docs, kernels.texts_of(batch.column("text")).to_pylist()):
-                data = ids.of_text(text) + _END
+            docs = iter(batch.column("doc_id").to_pylist())
+            found = (x for _, texts in kernels.chunks(batch, "text") for x in ids.of_texts(texts.to_pylist()))
+            for doc, data in zip(docs, found):
+                data += _END
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     length = len(part) // 4
@@ -161,7 +193,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096) -> DataFrame:
     A document is its ids and then id 1; only longer ones are cut, into pieces of ``capacity`` and a rest.
     Returns per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; sequences have no gaps.
     Null and empty texts are the single id 1. Null ids and repeated rows are packed as rows of their own,
-    extra columns are ignored, an empty table gives an empty result.
+    extra columns are ignored, an empty table gives an empty result. A very long text is encoded whole, by itself;
+    its words and ids must fit a worker's memory.
     """
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", docs["doc_id"].cast("long"))
     shape = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, slot long"
