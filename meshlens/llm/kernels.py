@@ -13,12 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK_BYTES = 1_000_000
-_MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
 
 #: Word separators as byte tables: white space, and everything in ASCII that is no letter or digit.
 SPACE = np.zeros(256, bool)
@@ -39,20 +37,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
-_BYTE_VALUES_LOWER = _BYTE_VALUES[LOWER]
+#: Words up to so many bytes are sums of values drawn by byte and place; longer ones are hashed one by one.
+TABLE_BYTES = 64
+_VALUES = mix(np.arange(1, 256 * TABLE_BYTES + 1, dtype=np.uint64) * np.uint64(_BASE)).reshape(256, TABLE_BYTES)
+_VALUES_LOWER = _VALUES[LOWER].ravel()
+_VALUES = _VALUES.ravel()
+_UPPER_TO_LOWER = LOWER.tobytes()
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = max(n, 2 * len(_POWERS), CHUNK_BYTES + CHUNK_BYTES // 4)
-        ones = np.ones(size, np.uint64)
-        ones[1:] = _BASE
-        _POWERS = np.multiply.accumulate(ones)
-        ones[1:] = pow(_BASE, -1, 1 << 64)
-        _INVERSES = np.multiply.accumulate(ones)
-    return _POWERS[:n], _INVERSES[:n]
+def _word_hashes(buffer: bytes, raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """64-bit hashes of the words; no arithmetic of the bytes alone, which words of regular make could meet in."""
+    place = np.arange(len(raw), dtype=np.int32)
+    if len(start):
+        place[start[0] :] -= np.repeat(start.astype(np.int32), np.diff(np.append(start, len(raw))))
+    place &= TABLE_BYTES - 1
+    place += raw.astype(np.int32) * TABLE_BYTES
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_VALUES_LOWER if lower else _VALUES)[place], out=sums[1:])
+    hashes = mix(sums[end] - sums[start])
+    for i in np.flatnonzero(end - start > TABLE_BYTES).tolist():
+        word = buffer[start[i] : end[i]]
+        hashes[i] = xxhash.xxh64_intdigest(word.translate(_UPPER_TO_LOWER) if lower else word)
+    return hashes
 
 
 def texts_of(column: pa.Array) -> pa.Array:
@@ -103,12 +109,7 @@ def words(texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = True) -
     np.logical_not(separators[raw], out=inside[1:])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edges[0::2], edges[1::2]
-    powers, inverses = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    values = (_BYTE_VALUES_LOWER if lower else _BYTE_VALUES)[raw]
-    values *= powers[: len(raw)]
-    np.cumsum(values, out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * inverses[start])
+    hashes = _word_hashes(buffer, raw, start, end, lower)
     first = np.searchsorted(start, doc_start)
     doc = np.repeat(np.arange(len(parts)), np.diff(first))
     return Words(buffer, doc_start[:-1], start, end, doc, first, hashes)
