@@ -52,6 +52,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, found regardless of extra or clashing columns elsewhere in ``df``."""
     bound_batches(df.sparkSession)

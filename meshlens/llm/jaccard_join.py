@@ -11,7 +11,8 @@ shingle. One shuffle brings buckets together, those of frequent shingles salted.
 members are tested against one pivot (linear in the bucket), pivots of one shingle with each other's first. Buckets
 that still hold several components test their members against a second pivot, drawn by shingle, so that a group
 of near copies that shares many shingles meets many pivots. Only buckets that are mixed even then go on to tiles,
-salted by the bucket's size, where members of different components meet. Pairs inside one component need no test, so a group of N near
+salted by the bucket's size, where members of different components meet; their bitmaps grow with the band's sizes, so
+that near copies just below the threshold are refused there, before any pair is made. Pairs inside one component need no test, so a group of N near
 copies never becomes N^2 pairs.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from .common import plain, small_side, staged
+from .common import fresh, plain, small_side, staged
 from .components import connected_components
 
 #: Shingles listed as frequent (they go last in prefixes): at most so many, each in so many sets at least.
@@ -33,6 +34,8 @@ FREQUENT, FREQUENT_DF = 200_000, 64
 SALTS = 64
 #: A tile holds about so many members a side.
 TILE = 1024
+#: Bitmaps in tiles have about so many bits an element, up to so many 64-bit words; beyond, they bound less sharply.
+TILE_BITS, TILE_WORDS = 16, 64
 _WORDS = [f"b{i}" for i in range(8)]
 
 
@@ -67,6 +70,16 @@ def bitmap(s: np.ndarray, log2: int = 9) -> np.ndarray:
     return np.packbits(bits)
 
 
+def tile_words(band: int, percent: int) -> int:
+    """64-bit words of the bitmaps that meet in tiles of a size band, a power of two."""
+    need = TILE_BITS * (100.0 / percent) ** (band + 1) / 64
+    return min(TILE_WORDS, 1 << max(0, int(np.ceil(np.log2(need)))))
+
+
+def tile_bitmap(s: np.ndarray, words: int) -> np.ndarray:
+    return bitmap(s, (64 * words).bit_length() - 1).view(np.int64)
+
+
 def fine_bitmap(s: np.ndarray) -> bytes:
     """A bitmap of 2 to 4 bits an element, which rules out pairs that share less than some seven tenths."""
     return bitmap(s, max(3, int(len(s)).bit_length() + 1)).tobytes()
@@ -202,6 +215,28 @@ def _sets(n: int, fine: bool):
     return run
 
 
+def _tile_maps(n: int, percent: int):
+    """(cls, own, next): bitmaps for the tiles of each set's own size band and of the next one."""
+
+    def run(batches):
+        for batch in batches:
+            for _, texts in kernels.chunks(batch, "text"):
+                sets = [s for s in shingle_sets(texts, n) if len(s)]
+                bands = [_band(len(s), percent) for s in sets]
+                columns = [pa.array([class_key(s).view(np.int64) for s in sets], pa.int64())]
+                for above in (0, 1):
+                    maps = [tile_bitmap(s, tile_words(band + above, percent)) for s, band in zip(sets, bands)]
+                    columns.append(pa.array(maps, pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, names=["cls", "own_map", "next_map"])
+
+    return run
+
+
+def _band(n: int, percent: int) -> int:
+    """Sets that may link are in one band or in neighbouring ones."""
+    return int(np.log(float(n)) / np.log(100.0 / percent) + 1e-9)
+
+
 def _bounded(na: int, nb: int, a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """The fine bitmaps allow the pair."""
     return (100 + percent) * (na + nb - differing_bits(a, b)) >= 2 * percent * (na + nb)
@@ -236,18 +271,26 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return (100 * smaller >= percent * larger) & ((100 + percent) * (total - differ) >= 2 * percent * total)
 
 
+def _may_link_finely(x: str, y: str, percent: int) -> Column:
+    """The tile bitmaps allow the pair."""
+    differ = F.aggregate(F.zip_with(f"{x}.map", f"{y}.map", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (100 + percent) * (total - differ) >= 2 * percent * total
+
+
+def _sets_of(docs: DataFrame, needed: DataFrame, task, shape: str) -> DataFrame:
+    """What ``task`` makes of the set of each class of ``needed`` (cls, rep), once."""
+    found = docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(task, shape)
+    return found.join(small_side(needed.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link: finer bitmaps bound them, then whole sets decide."""
     pairs = staged(pairs, "pairs")
     for fine, test in ((True, _bounded), (False, _linked)):
         needed = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().join(classes.select("cls", "rep"), "cls")
         needed = staged(needed, "needed")
-        data = (
-            docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
-            .mapInArrow(_sets(n, fine), "cls long, n long, data binary")
-            .join(small_side(needed.select("cls")), "cls", "left_semi")
-            .dropDuplicates(["cls"])
-        )  # its exchange by cls serves both sides of the pairs
+        data = _sets_of(docs, needed, _sets(n, fine), "cls long, n long, data binary")  # its exchange by cls serves both sides
         for side in "ab":
             pairs = pairs.join(data.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("data").alias(f"d{side}")), side)
         pairs = staged(pairs.mapInArrow(_filter(test, percent), "a long, b long"), "links")
@@ -314,15 +357,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
         joined = connected_components(links)
         rest, mixed = still_mixed(rest.select("token", "cls"))
     if not mixed.isEmpty():
-        tile = rest.join(small_side(mixed), "token").join(shapes, "cls")
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
-        x = tile.withColumns({"band": band, "salt": F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")})
-        y = tile.withColumn("own", band).withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+        tile = rest.join(small_side(mixed), "token").select("token", "cls", "component", "tiles").join(classes.select("cls", "n"), "cls")
+        tile = tile.select("token", "cls", "component", "tiles", band.alias("own"))
+        tile = staged(tile.withColumn("band", F.explode(F.array(F.col("own"), F.col("own") + 1))), "tile")
+        ends = F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.col("band") == F.col("own")).alias("owned")
+        live = staged(tile.groupBy("token", "band").agg(*ends).where("lo <> hi AND owned").select("token", "band"), "live")
+        tile = staged(tile.join(small_side(live), ["token", "band"], "left_semi"), "places")  # where two components meet
+        needed = staged(tile.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "needed")
+        maps = _sets_of(docs, needed, _tile_maps(n, percent), "cls long, own_map array<long>, next_map array<long>")
+        tile = tile.join(staged(maps.join(shapes, "cls"), "maps"), "cls")
+        own = F.col("band") == F.col("own")
+        y = tile.withColumn("map", F.when(own, F.col("own_map")).otherwise(F.col("next_map"))).drop("own_map", "next_map")
+        x = y.where(own).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
         y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))
         once = (F.col("x.band") > F.col("y.own")) | (F.col("x.cls") < F.col("y.cls"))
         apart = (F.col("x.component") != F.col("y.component")) & once
-        more = x.alias("x").join(y.alias("y"), same & apart & _may_link("x", "y", percent))
+        more = x.alias("x").join(y.alias("y"), same & apart & _may_link("x", "y", percent) & _may_link_finely("x", "y", percent))
         more = more.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
         links = links.union(_verified(docs, classes, more, n, percent))
         joined = connected_components(links)
@@ -333,3 +385,24 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     out = described.select("doc_id", "n_shingles", "cls").join(small_side(ids), "cls", "left")
     out = out.join(small_side(classes.select("cls", "rep")), "cls", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "rep", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group that links reach, in all its columns.
+
+    The row with the smallest doc_id stays; a null doc_id comes after all others, and of rows alike in both any one
+    stays. Groups are of rows, not of ids: repeated rows and rows with null ids are decided one by one, and a doc_id
+    with two unlike texts keeps both. Null, empty and wordless texts are linked with nothing and all stay. Very long
+    texts are hashed whole, each in a chunk of its own. Extra columns, whatever their names, pass through; an empty
+    table stays empty.
+    """
+    names, row = docs.columns, fresh(docs, "_row")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    ids = rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    classes = jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), n, percent)
+    members = staged(classes.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group")).join(ids, "row"), "members")
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
+    groups = members.groupBy("group").agg(first, F.count("*").alias("size")).where("size > 1")
+    groups = staged(groups.select("group", F.col("first.row").alias("kept")), "groups")
+    others = members.join(small_side(groups), "group").where("row <> kept").select(F.col("row").alias(row))
+    return rows.join(small_side(staged(others, "others")), row, "left_anti").select(*[F.col(f"`{c}`") for c in names])
