@@ -8,10 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from meshlens.llm import decontaminate, jaccard_join, packing, quality_rules, substrings
-from meshlens.llm.common import small_side, staged, table
+from meshlens.llm.common import staged, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest doc_id."""
-    classes = jaccard_join.jaccard_classes(docs)
-    others = staged(classes.where("doc_id <> component_id").select("doc_id"), "others")
-    return docs.join(small_side(others), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of linked ones: that with the smallest doc_id; see ``keep_one`` for awkward rows."""
+    return jaccard_join.keep_one(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
