@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,22 +35,24 @@ def distribution(x: Column) -> Column:
 
 
 def merge_distributions(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Exact merge by pairwise moments: one aggregation by sums, shifted to the group's average.
+    """Merge in two steps: the average A of each group, then m2 = sum(m2_i + n_i (avg_i - A)^2), which does not cancel.
 
-    With N and A of the whole, m2 = sum(m2_i + n_i (avg_i - A)^2) is the weighted variance of the averages
-    (a population variance over n_i copies) plus the parts' own m2, so one pass of sums does.
+    Both steps combine before their shuffles; the averages, a row a group, are joined back null-safely.
     """
     d = F.col(column)
-    n, weighted = F.sum(d["count"]), F.sum(d["count"] * d["avg"])
-    square = F.sum(d["m2"] + d["count"] * d["avg"] * d["avg"])
-    average = weighted / n
-    out = parts.groupBy(*keys).agg(
-        n.alias("_n"), F.min(d["min"]).alias("_min"), F.max(d["max"]).alias("_max"), average.alias("_avg"), (square - n * average * average).alias("_m2")
+    n = F.sum(d["count"])
+    wholes = parts.groupBy(*keys).agg(
+        n.alias("_n"), F.min(d["min"]).alias("_min"), F.max(d["max"]).alias("_max"), (F.sum(d["count"] * d["avg"]) / n).alias("_avg")
     )
+    own = [f"_key{i}" for i in range(len(keys))]
+    averages = wholes.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "_avg")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)], F.lit(True))
+    apart = d["avg"] - F.col("_avg")
+    m2 = parts.select(*keys, column).join(averages, same).groupBy(*own).agg(F.sum(d["m2"] + d["count"] * apart * apart).alias("_m2"))
+    out = wholes.join(m2, same)
     merged = F.struct(
-        F.col("_n").alias("count"), F.col("_min").alias("min"), F.col("_max").alias("max"), F.col("_avg").alias("avg"),
-        F.greatest("_m2", F.lit(0.0)).alias("m2"),
-    )
+        F.col("_n").alias("count"), F.col("_min").alias("min"), F.col("_max").alias("max"), F.col("_avg").alias("avg"), F.col("_m2").alias("m2")
+    )
     return out.select(*keys, merged.alias(column))
 
 

@@ -11,12 +11,18 @@ from meshlens.functions.times import div
 
 def clipped(value: Column, start: int | None, stop: int | None) -> Column:
     """The share of ``value`` of a row [start, stop] that falls into the query's time, in whole numbers."""
-    s, e, v = F.col("start"), F.col("stop"), value
+    s, e, v = F.col("start"), F.col("stop"), value.cast("decimal(19,0)")
+
+    def part(v: Column, inside: Column, whole: Column) -> Column:
+        """Products of a volume and milliseconds are beyond a long; their quotient is cut."""
+        product, width = v * inside.cast("decimal(18,0)"), F.greatest(whole, F.lit(1)).cast("decimal(18,0)")
+        return ((product - product % width) / width).cast("decimal(19,0)")
+
     if start is not None:
-        v = F.when(s < start, div(v * (e - start), F.greatest(e - s, F.lit(1)))).otherwise(v)
+        v = F.when(s < start, part(v, e - start, e - s)).otherwise(v)
         s = F.greatest(s, F.lit(start))
     if stop is not None:
-        v = F.when(e > stop, div(v * (stop - s), F.greatest(e - s, F.lit(1)))).otherwise(v)
+        v = F.when(e > stop, part(v, stop - s, e - s)).otherwise(v)
     return v.cast("long")
 
 
@@ -26,8 +32,7 @@ def top(
     """The ``n`` keys with the largest sum of ``sort``, a row of the others and one of the total.
 
     ``aggregates`` maps names to (aggregate, field), aggregates being max, min, sum and avg over whole numbers.
-    The sort value alone is clipped to the query's time. Adds sort_value, kind ('key', 'others', 'total')
-    and rank; ties are broken by key. Groups are combined before the shuffle and only the ranking of
+    The sort value alone is clipped to the query's time. Adds sort_value and kind ('key', 'others', 'total'); ties are broken by key. Groups are combined before the shuffle and only the ranking of
     groups uses one ordered pass: a top-n by rank limit, joined back by broadcast of n rows.
     """
     value = F.sum(clipped(F.col(sort), start, stop)).cast("long").alias("sort_value")
