@@ -5,7 +5,7 @@ hashed bitmap of each set bounds the overlap from above (every differing bit is
 side lacks); the pairs left are decided by the exact intersection of the sorted arrays.
 
 How it scales: sets that are equal collapse to one class first, so exact copies cost one row each.
-Shingles are ordered by hash with the most frequent ones last, and a set's prefix of
+Shingles are ordered by hash, those of many sets after them by their counts, and a set's prefix of
 ``floor((1 - t) n) + 1`` shingles must meet that of any partner, so a bucket holds what shares a rare
 shingle. One shuffle brings buckets together, those of frequent shingles salted. In each bucket all
 members are tested against one pivot (linear in the bucket), pivots of one shingle with each other's first. Buckets
@@ -28,8 +28,11 @@ from . import kernels
 from .common import fresh, plain, small_side, staged
 from .components import connected_components
 
-#: Shingles listed as frequent (they go last in prefixes): at most so many, each in so many sets at least.
-FREQUENT, FREQUENT_DF = 200_000, 64
+#: Shingles listed as shared (they go last in prefixes, the most shared ones at the very end): at most so many, each
+#: counted in so many sets at least. The list only orders shingles; what it lacks costs candidates and loses nothing.
+FREQUENT, FREQUENT_DF = 500_000, 8
+#: From so many sets on a listed shingle's bucket is salted.
+SALTED_DF = 64
 #: A frequent shingle's bucket is dealt into so many, each with a pivot of its own.
 SALTS = 64
 #: A tile holds about so many members a side.
@@ -111,24 +114,26 @@ def _describe(n: int):
 
 
 def _frequent(n: int):
-    """Shingles that a task meets in four sets or more of some millions of shingles."""
+    """Shingles that a task meets in two sets or more of some millions of shingles; equal sets count once there."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, seen = [], 0, set()
 
         def flush():
             tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= 4
+            often = counts >= 2
             return pa.RecordBatch.from_arrays([pa.array(kernels.signed(tokens[often])), pa.array(counts[often])], names=["token", "df"])
 
         for batch in batches:
             for _, texts in kernels.chunks(batch, "text"):
-                sets = shingle_sets(texts, n)
-                held += sets
-                size += sum(map(len, sets))
+                for s in shingle_sets(texts, n):
+                    if len(s) and (key := class_key(s)) not in seen:
+                        seen.add(key)
+                        held.append(s)
+                        size += len(s)
                 if size >= 4_000_000:
                     yield flush()
-                    held, size = [], 0
+                    held, size, seen = [], 0, set()
         if size:
             yield flush()
 
@@ -137,22 +142,23 @@ def _frequent(n: int):
 
 def _prefixes(n: int, percent: int, frequent):
     def run(batches):
-        last, seen = frequent.value, set()
+        (last, rank, salted_from), seen = frequent.value, set()
         for batch in batches:
             for _, texts in kernels.chunks(batch, "text"):
                 tokens, keys, salts = [], [], []
                 for s in shingle_sets(texts, n):
                     if len(s) and (key := class_key(s).view(np.int64)) not in seen:
                         seen.add(key)
-                        size, rare = len(s) * (100 - percent) // 100 + 1, len(s)
+                        size, plain_ones = len(s) * (100 - percent) // 100 + 1, len(s)
                         if len(last):
                             at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                             common = last[at] == s
-                            rare = len(s) - int(common.sum())
-                            s = np.concatenate([s[~common], s[common]])
+                            order = np.argsort(rank[at[common]])
+                            plain_ones = len(s) - int((rank[at[common]] >= salted_from).sum())
+                            s = np.concatenate([s[~common], s[common][order]])
                         s = s[:size]
                         tokens.append(s)
-                        salts.append(np.where(np.arange(len(s)) < rare, 0, 1 + key % SALTS))
+                        salts.append(np.where(np.arange(len(s)) < plain_ones, 0, 1 + key % SALTS))
                         keys.append(np.full(len(s), key))
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -317,8 +323,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
     often = docs.mapInArrow(_frequent(n), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     often = often.where(F.col("df") >= FREQUENT_DF).orderBy(F.desc("df"), "token").limit(FREQUENT)
-    frequent = np.sort(np.array([r.token for r in often.select("token").toLocalIterator()], np.int64).view(np.uint64))
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent)
+    listed = often.toArrow()  # at most FREQUENT rows of two numbers
+    token, df = listed.column("token").to_numpy().astype(np.int64).view(np.uint64), listed.column("df").to_numpy()
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, df))] = np.arange(len(token))
+    by_token = np.argsort(token)
+    frequent = docs.sparkSession.sparkContext.broadcast((token[by_token], rank[by_token], int((df < SALTED_DF).sum())))
 
     prefixes = docs.mapInArrow(_prefixes(n, percent, frequent), "token long, salt int, cls long")
     prefixes = prefixes.repartition("token", "salt").sortWithinPartitions("token", "salt", "cls")
