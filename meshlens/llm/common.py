@@ -66,3 +66,18 @@ def plain(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, found regardless of extra or clashing columns elsewhere in ``df``."""
     bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``staged``, with the path, so that a loop can remove what a later round replaces."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, licenses, packing, perplexity, quality_rules, substrings, token_counts, warc
-from .common import table
+from . import chat, decontaminate, divergence, html_extract, licenses, lloyd, packing, perplexity, quality_rules, substrings, token_counts, warc
+from .common import plain, table
 from .jaccard_join import jaccard_classes
 
 
@@ -52,6 +52,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, ranks=10)
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one, -1, whose texts are the template's own control strings."""
+    marks = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = plain(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return chat.digests(chat.expand(rows.unionByName(more)))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -61,10 +77,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_license_scan, op2_token_counts, op3_decontamination, op4_quality_classifier, op5_substring_dedup,
-        op6_jaccard_join, op7_quality_rules, op8_html_extraction, op9_warc, op10_packing, pipeline,
+        op6_jaccard_join, op7_quality_rules, op8_html_extraction, op9_warc, op10_packing,
+        op11_source_divergence, op12_chat_formatting, op13_centroid_clustering, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.sql()}
+    return {
+        "op7_quality_rules": quality_rules.sql(), "op11_source_divergence": divergence.sql(), "op12_chat_formatting": chat.sql(),
+        "op13_centroid_clustering": lloyd.sql(),
+    }
