@@ -28,8 +28,16 @@ def ip_key(proto: Column, ip_text: Column) -> Column:
     return F.when(proto.isin(0x0800, 0x86DD), ip_text).otherwise(eth_proto(proto))
 
 
+def protocol(proto: Column) -> Column:
+    return _case(proto, IP_PROTOCOLS, proto.cast("string"))
+
+
+def service(port: Column) -> Column:
+    return _case(port, SERVICES, port.cast("string"))
+
+
 def app_key(proto: Column, port: Column) -> Column:
-    return F.concat(_case(proto, IP_PROTOCOLS, proto.cast("string")), F.lit("/"), _case(port, SERVICES, port.cast("string")))
+    return F.concat(protocol(proto), F.lit("/"), service(port))
 
 
 def method(code: Column) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshlens.functions import aggregates, labels, net, numbers, times
+from meshlens.operators import callflow as callflows
 from meshlens.operators import graphs, presets, rollups, series, top
 from meshlens.sources import facts
 
@@ -23,7 +25,9 @@ def _query(sql: str | None = None):
     def add(f):
         text = sql
         if text is not None:
-            views = [v for k, v in (("traffic", facts.TRAFFIC_SQL), ("tx", facts.TRANSACTIONS_SQL)) if f" {k}" in f" {text}"]
+            needed = set(re.findall(r"(?:FROM|JOIN) (traffic|tx|web|tcp)\b", text))
+            needed |= {"tx"} if needed & {"web", "tcp"} else set()
+            views = [v for k, v in (("traffic", facts.TRAFFIC_SQL), ("tx", facts.TRANSACTIONS_SQL), ("web", facts.WEB_SQL), ("tcp", facts.TCP_SQL)) if k in needed]
             text = f"WITH {', '.join(views)}{', ' if text.startswith('+') else ' '}{text.lstrip('+')}" if views else text
         _QUERIES[f.__name__] = (f, text)
         return f
@@ -383,15 +387,105 @@ def _flows(spark, d) -> DataFrame:
     return t.select((F.col("ip_src") % 40).alias("ip_src"), (F.col("ip_dst") % 40).alias("ip_dst"), "start", "stop", F.col("eth_payload").alias("y"))
 
 
-@_query(f"""+f AS (SELECT ip_src % 40 AS ip_src, ip_dst % 40 AS ip_dst, start, stop, eth_payload AS y FROM traffic WHERE start >= {START} AND stop < {START + 4 * WEEK}),
-h1 AS (SELECT * FROM f WHERE ip_src = 7), r1 AS (SELECT ip_dst AS node, min(greatest(start, {START})) AS t0, max(stop) AS t1 FROM h1 GROUP BY 1),
-h2 AS (SELECT f.*, t0 FROM f JOIN r1 ON f.ip_src = node AND f.stop >= t0 AND f.start <= t1 WHERE node <> 7)
-SELECT CAST(1 AS INT) AS hop, ip_src, ip_dst, start, stop, y FROM h1 UNION ALL SELECT 2, ip_src, ip_dst, start, stop, y FROM h2""")
+def _callflow_sql(hops: int) -> str:
+    """Hop by hop, as often as there are hosts."""
+    parts = [
+        f"f AS MATERIALIZED (SELECT ip_src % 40 AS ip_src, ip_dst % 40 AS ip_dst, start, stop, eth_payload AS y FROM traffic WHERE stop >= {START} AND start < {START + 4 * WEEK})",
+        f"r0 AS (SELECT 7::BIGINT AS node, {START}::BIGINT AS t0, {START + 4 * WEEK - 1}::BIGINT AS t1)", "v0 AS (SELECT node FROM r0)",
+    ]
+    for k in range(1, hops + 1):
+        parts += [
+            f"h{k} AS MATERIALIZED (SELECT f.*, t0 FROM f JOIN r{k - 1} ON ip_src = node AND stop >= t0 AND start <= t1)",
+            f"r{k} AS MATERIALIZED (SELECT ip_dst AS node, min(greatest(start, t0)) AS t0, max(least(stop, {START + 4 * WEEK - 1})) AS t1 FROM h{k} WHERE ip_dst NOT IN (FROM v{k - 1}) GROUP BY 1)",
+            f"v{k} AS MATERIALIZED (SELECT node FROM v{k - 1} UNION ALL SELECT node FROM r{k})",
+        ]
+    return "+" + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS hop, ip_src, ip_dst, start, stop, y FROM h{k}" for k in range(1, hops + 1))
+
+
+@_query(_callflow_sql(40))
 def callflow(spark, d):
-    """All flows that host 7 may have caused in four weeks. The SQL has less: two hops, of flows wholly inside."""
+    """All flows that host 7 may have caused in four weeks."""
     return graphs.callflow(_flows(spark, d), 7, START, START + 4 * WEEK)
 
 
+#: Hosts of the call flow in both directions.
+PARTIES = 20
+
+
+def _conversing(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Traffic among few hosts and ports, of as many hours as packets, so that flows go both ways; transactions of the same hosts and half year."""
+    t = facts.traffic(spark, d)
+    flows = t.select(
+        (F.col("ip_src") % PARTIES).alias("ip_src"), (F.col("ip_dst") % PARTIES).alias("ip_dst"), "ip_proto", (F.col("port_src") % 2).alias("port_src"),
+        (F.col("port_dst") / 100 % 2).cast("int").alias("port_dst"), "start", (F.col("start") + F.col("packets") * HOUR).alias("stop"), "packets", F.col("eth_payload").alias("payload"),
+    )
+    when, port = (F.col("start") - TX_START) * 6 + START, lambda c: F.col(c).cast("string")
+    dns = facts.transactions(spark, d).where("event_id % 3 = 0").withColumns({"rt_avg": F.col("rt"), "request": F.concat("name", F.lit("?")), "response": labels.error(F.col("error"), 0)})
+    asked = facts.web(spark, d).where("event_id % 3 = 1")
+    asked = asked.withColumns({"request": labels.request(F.col("methd"), F.col("host"), F.col("url"), 60), "response": F.concat(F.lit("status: "), port("status"))})
+    opened = facts.tcp(spark, d).where("event_id % 3 = 2")
+    opened = opened.withColumns({"request": F.concat(F.lit("SYN "), port("port_clt"), F.lit("→"), port("port_srv")), "response": F.when(F.col("syns") > 2, F.concat(port("syns"), F.lit(" SYNs"))).otherwise("")})
+    out = None
+    for kind, rows in (("dns", dns), ("web", asked), ("tcp", opened)):
+        part = rows.select(
+            F.lit(kind).alias("kind"), (F.col("ip_clt") % PARTIES).alias("ip_clt"), (F.col("ip_srv") % PARTIES).alias("ip_srv"), when.alias("start"),
+            (when + F.floor(F.col("rt_avg") * 1000)).alias("stop"), "request", "response",
+        )
+        out = part if out is None else out.unionByName(part)
+    return flows, out
+
+
+def _conversing_sql() -> list[str]:
+    when = f"(start - {TX_START}) * 6 + {START}"
+    head = f"ip_clt % {PARTIES} AS ip_clt, ip_srv % {PARTIES} AS ip_srv, {when} AS start, {when} + CAST(floor({{}} * 1000) AS BIGINT) AS stop"
+    verbs = "['GET', 'HEAD', 'POST', 'CONNECT', 'PUT', 'OPTIONS', 'TRACE', 'DELETE']"
+    asked = f"{verbs}[methd + 1] || ' http://' || host || url"
+    return [
+        f"""f AS MATERIALIZED (SELECT * FROM (SELECT ip_src % {PARTIES} AS ip_src, ip_dst % {PARTIES} AS ip_dst, ip_proto, CAST(port_src % 2 AS INT) AS port_src, CAST(port_dst // 100 % 2 AS INT) AS port_dst,
+ start, start + packets * {HOUR} AS stop, packets, eth_payload AS payload FROM traffic) WHERE {INSIDE})""",
+        f"""t AS MATERIALIZED (SELECT 'dns' AS kind, {head.format('rt')}, name || '?' AS request, CASE WHEN error = 0 THEN '' ELSE CAST(error AS VARCHAR) END AS response FROM tx WHERE event_id % 3 = 0
+ UNION ALL SELECT 'web', {head.format('rt_avg')}, CASE WHEN length({asked}) > 60 THEN left({asked}, 57) || '...' ELSE {asked} END, 'status: ' || status FROM web WHERE event_id % 3 = 1
+ UNION ALL SELECT 'tcp', {head.format('rt_avg')}, 'SYN ' || port_clt || '→' || port_srv, CASE WHEN syns > 2 THEN syns || ' SYNs' ELSE '' END FROM tcp WHERE event_id % 3 = 2)""",
+    ]
+
+
+def _portion_sql(v: str) -> str:
+    first = f"(CASE WHEN start < w0 THEN {v} * (stop - w0) // greatest(stop - start, 1) ELSE {v} END)"
+    return f"CASE WHEN stop > w1 THEN {first} * (w1 - greatest(start, w0)) // greatest(stop - greatest(start, w0), 1) ELSE {first} END"
+
+
+def _both_ways_sql(hops: int) -> str:
+    parts = [*_conversing_sql(), f"r0 AS (SELECT 7::BIGINT AS node, {START}::BIGINT AS t0, {STOP}::BIGINT AS t1)", "v0 AS (SELECT node FROM r0)"]
+    shown = []
+    keys = "ip_src, ip_dst, ip_proto, port_src, port_dst"
+    for k in range(1, hops + 1):
+        parts += [
+            f"s{k} AS MATERIALIZED (SELECT f.*, t0 AS w0, t1 AS w1 FROM f JOIN r{k - 1} ON ip_src = node AND stop >= t0 AND start < t1)",
+            f"c{k} AS MATERIALIZED (SELECT {keys}, w0, w1, min(greatest(start, w0)) AS t0 FROM s{k} GROUP BY ALL)",
+            f"""b{k} AS MATERIALIZED (SELECT f.*, w0, w1 FROM f JOIN c{k} c ON f.ip_src = c.ip_dst AND f.ip_dst = c.ip_src AND f.ip_proto = c.ip_proto AND f.port_src = c.port_dst
+ AND f.port_dst = c.port_src AND f.stop >= c.t0 AND f.start < w1)""",
+            f"""l{k} AS MATERIALIZED (SELECT c.ip_dst AS peer, c.t0, greatest(c.t0, coalesce(last, c.t0)) AS t1 FROM c{k} c LEFT JOIN (SELECT {keys}, max(least(stop, w1)) AS last FROM b{k} GROUP BY ALL) b
+ ON b.ip_src = c.ip_dst AND b.ip_dst = c.ip_src AND b.ip_proto = c.ip_proto AND b.port_src = c.port_dst AND b.port_dst = c.port_src)""",
+            f"x{k} AS MATERIALIZED (SELECT * FROM t WHERE EXISTS (FROM l{k} WHERE peer = ip_srv AND t.start >= t0 AND t.start < t1))",
+            f"r{k} AS MATERIALIZED (SELECT peer AS node, min(t0) AS t0, max(t1) AS t1 FROM l{k} WHERE peer NOT IN (FROM v{k - 1}) GROUP BY 1)",
+            f"v{k} AS MATERIALIZED (SELECT node FROM v{k - 1} UNION ALL SELECT node FROM r{k})",
+        ]
+        shown += [
+            f"""SELECT CAST({k} AS INT) AS hop, '{kind}' AS kind, greatest(start, w0) AS start, least(stop, w1) AS stop, {keys}, {_portion_sql('packets')} AS packets, {_portion_sql('payload')} AS payload,
+ CAST(NULL AS VARCHAR) AS request, CAST(NULL AS VARCHAR) AS response FROM {table}{k}"""
+            for kind, table in (("flow", "s"), ("back", "b"))
+        ]
+        shown.append(f"SELECT {k}, kind, start, stop, ip_clt, ip_srv, NULL, NULL, NULL, NULL, NULL, request, response FROM x{k}")
+    return "+" + ", ".join(parts) + " " + " UNION ALL ".join(shown)
+
+
+@_query(_both_ways_sql(PARTIES))
+def callflow_both_ways(spark, d):
+    """What host 7 may have set off in half a year: its flows, those that came back, and what the hosts it reached served meanwhile."""
+    flows, transactions = _conversing(spark, d)
+    return callflows.callflow(flows, 7, START, STOP, transactions)
+
+
 # Functions
 
 

@@ -140,6 +140,28 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as web requests, in the columns of the web table."""
+    t = transactions(spark, sf_dir)
+    return t.select(
+        "event_id", F.lit(None).cast("int").alias("vlan"), "ip_clt", "ip_srv", F.expr("CASE WHEN event_id % 3 = 0 THEN 8080 ELSE 80 END").alias("port_srv"),
+        (F.col("event_id") % 8).cast("int").alias("methd"),
+        F.expr("CASE WHEN error <> 0 THEN 500 WHEN event_id % 10 = 7 THEN 404 ELSE 200 END").alias("status"), "start",
+        F.lit(1).cast("long").alias("rt_count"), F.col("rt").alias("rt_min"), F.col("rt").alias("rt_max"), F.col("rt").alias("rt_avg"), F.lit(0.0).alias("rt_m2"),
+        F.expr("concat('www.h', (ip_srv - 167772160) % 7, '.example')").alias("host"), F.expr("concat('/', name, '/', event_id % 50, '?k=', event_id % 9)").alias("url"),
+    )
+
+
+def tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as socket openings, in the columns of the socket table."""
+    t = transactions(spark, sf_dir)
+    return t.select(
+        "event_id", F.lit(None).cast("int").alias("vlan"), "ip_clt", "ip_srv", (1024 + F.col("event_id") % 5000).cast("int").alias("port_clt"),
+        F.expr("CASE WHEN event_id % 5 = 0 THEN 22 ELSE 443 END").alias("port_srv"), "start", (1 + F.col("event_id") % 4).alias("syns"),
+        F.lit(1).cast("long").alias("rt_count"), *[(F.col("rt") / 10).alias(f"rt_{x}") for x in ("min", "max", "avg")], F.lit(0.0).alias("rt_m2"),
+    )
+
+
 #: The same views in DuckDB's SQL.
 TRAFFIC_SQL = """traffic AS (SELECT epoch_us(least(o_orderdate, l_shipdate)) // 1000 AS start, epoch_us(greatest(o_orderdate, l_shipdate)) // 1000 AS stop,
  CAST(l_quantity AS BIGINT) AS packets, CAST(round(l_extendedprice * 100) AS BIGINT) AS eth_payload, 167772160 + l_suppkey AS ip_src,
@@ -150,3 +172,8 @@ TRAFFIC_SQL = """traffic AS (SELECT epoch_us(least(o_orderdate, l_shipdate)) //
  '02:00:00:00:00:' || lower(lpad(to_hex(o_custkey % 16), 2, '0')) AS mac_dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 TRANSACTIONS_SQL = """tx AS (SELECT event_id, epoch_us(ts) // 1000 AS start, value / 1000.0 AS rt, 167772160 + user_id AS ip_srv,
  3232235520 + event_id % 1000 AS ip_clt, CASE event_type WHEN 'error' THEN 3 ELSE 0 END AS error, event_type AS name FROM events)"""
+WEB_SQL = """web AS (SELECT event_id, CAST(NULL AS INT) AS vlan, ip_clt, ip_srv, CASE WHEN event_id % 3 = 0 THEN 8080 ELSE 80 END AS port_srv, CAST(event_id % 8 AS INT) AS methd,
+ CASE WHEN error <> 0 THEN 500 WHEN event_id % 10 = 7 THEN 404 ELSE 200 END AS status, start, 1::BIGINT AS rt_count, rt AS rt_min, rt AS rt_max, rt AS rt_avg, 0.0::DOUBLE AS rt_m2,
+ 'www.h' || (ip_srv - 167772160) % 7 || '.example' AS host, '/' || name || '/' || event_id % 50 || '?k=' || event_id % 9 AS url FROM tx)"""
+TCP_SQL = """tcp AS (SELECT event_id, CAST(NULL AS INT) AS vlan, ip_clt, ip_srv, CAST(1024 + event_id % 5000 AS INT) AS port_clt, CASE WHEN event_id % 5 = 0 THEN 22 ELSE 443 END AS port_srv,
+ start, 1 + event_id % 4 AS syns, 1::BIGINT AS rt_count, rt / 10 AS rt_min, rt / 10 AS rt_max, rt / 10 AS rt_avg, 0.0::DOUBLE AS rt_m2 FROM tx)"""
