@@ -12,6 +12,7 @@ from meshlens.functions import aggregates, labels, net, numbers, times
 from meshlens.operators import callflow as callflows
 from meshlens.operators import graphs, presets, rollups, series, top
 from meshlens.sources import facts
+from meshlens.streaming import packets
 
 #: The queries' time: the first half of 1996 in weeks; January 2024 in hours for transactions.
 START, STOP, WEEK = 820_454_400_000, 836_179_200_000, 604_800_000
@@ -25,9 +26,9 @@ def _query(sql: str | None = None):
     def add(f):
         text = sql
         if text is not None:
-            needed = set(re.findall(r"(?:FROM|JOIN) (traffic|tx|web|tcp)\b", text))
+            needed = set(re.findall(r"(?:FROM|JOIN) (traffic|tx|web|tcp|packets)\b", text))
             needed |= {"tx"} if needed & {"web", "tcp"} else set()
-            views = [v for k, v in (("traffic", facts.TRAFFIC_SQL), ("tx", facts.TRANSACTIONS_SQL), ("web", facts.WEB_SQL), ("tcp", facts.TCP_SQL)) if k in needed]
+            views = [v for k, v in (("traffic", facts.TRAFFIC_SQL), ("tx", facts.TRANSACTIONS_SQL), ("web", facts.WEB_SQL), ("tcp", facts.TCP_SQL), ("packets", facts.PACKETS_SQL)) if k in needed]
             text = f"WITH {', '.join(views)}{', ' if text.startswith('+') else ' '}{text.lstrip('+')}" if views else text
         _QUERIES[f.__name__] = (f, text)
         return f
@@ -596,14 +597,67 @@ def union_transactions(spark, d):
     return flows.unionByName(facts.transactions(spark, d).select(F.lit("dns").alias("kind"), F.col("ip_srv").alias("ip"), "start"))
 
 
-@_query("""SELECT q.event_id AS query_id, a.event_id AS answer_id, a.ts_ms - q.ts_ms AS wait FROM (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type = 'view') q
- JOIN (SELECT event_id, user_id, epoch_us(ts) // 1000 AS ts_ms FROM events WHERE event_type = 'click') a ON q.user_id = a.user_id AND a.ts_ms BETWEEN q.ts_ms AND q.ts_ms + 3600000""")
+@_query("""SELECT q.event_id AS query_id, a.event_id AS answer_id, a.ms - q.ms AS wait FROM (SELECT event_id, user_id, ts, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'view') q
+ ASOF JOIN (SELECT min(event_id) AS event_id, user_id, ts, epoch_us(ts) // 1000 AS ms FROM events WHERE event_type = 'click' GROUP BY ALL) a ON q.user_id = a.user_id AND a.ts >= q.ts
+ WHERE a.ts - q.ts <= INTERVAL 1 HOUR""")
 def http_match_join(spark, d):
-    """Queries (views) with the answers (clicks) of the same user within an hour."""
-    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "event_type", times.millis("ts").alias("ms"))
-    q, a = (rows.where(F.col("event_type") == t).alias(x) for t, x in (("view", "q"), ("click", "a")))
-    near = (F.col("q.user_id") == F.col("a.user_id")) & F.col("a.ms").between(F.col("q.ms"), F.col("q.ms") + 3_600_000)
-    return q.join(a, near).select(F.col("q.event_id").alias("query_id"), F.col("a.event_id").alias("answer_id"), (F.col("a.ms") - F.col("q.ms")).alias("wait"))
+    """Each query (view) with its first answer (click) of the same user within an hour."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("n"), "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    views, clicks = rows.where("event_type = 'view'"), rows.where("event_type = 'click'").withColumnsRenamed({"ts": "at", "n": "answer"})
+    out = packets.first_answers(views, rows.where("event_type = 'click'"), ["user_id"], HOUR)
+    found = out.join(clicks.select(F.col("answer").alias("a_n"), "at"), "a_n")
+    return found.select(F.col("q_n").alias("query_id"), F.col("a_n").alias("answer_id"), (F.unix_millis("at") - F.unix_millis("ts")).alias("wait"))
+
+
+@_query("""SELECT query_id, CASE WHEN near THEN answer_id END AS answer_id, ip_clt, CASE WHEN near THEN wait / 1e6 ELSE 0 END AS rt, NOT near AS timed_out FROM
+ (SELECT q.n AS query_id, a.n AS answer_id, q.ip_src AS ip_clt, a.us - q.us AS wait, coalesce(a.us - q.us <= 10000000, false) AS near FROM (SELECT * FROM packets WHERE up) q
+ ASOF LEFT JOIN (SELECT min(n) AS n, ip_src, ip_dst, us FROM packets WHERE NOT up GROUP BY ALL) a ON q.ip_src = a.ip_dst AND q.ip_dst = a.ip_src AND a.us >= q.us)""")
+def dns_first_answer(spark, d):
+    """Packets to a server as queries, those back as answers: first answers within ten seconds, and queries without."""
+    rows, up = facts.packets(spark, d), F.col("n") % 3 != 0
+    queries = rows.where(up).withColumnsRenamed({"ip_src": "ip_clt", "ip_dst": "ip_srv"})
+    answers = rows.where(~up).withColumnsRenamed({"ip_dst": "ip_clt", "ip_src": "ip_srv"})
+    out = packets.first_answers(queries, answers, ["ip_clt", "ip_srv"], packets.DNS_TIMEOUT, keep_unanswered=True)
+    return out.select(F.col("q_n").alias("query_id"), F.col("a_n").alias("answer_id"), "ip_clt", "rt", "timed_out")
+
+
+@_query(f"""+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY us, n) AS k FROM packets WHERE ip_src IS NOT NULL),
+r AS (WITH RECURSIVE r AS (SELECT pair, 0::BIGINT AS k, NULL::BOOLEAN AS c, NULL::BIGINT AS s, 0::BIGINT AS syns, [NULL::STRUCT(c BOOLEAN, s BIGINT, syns BIGINT, ct DOUBLE, late BOOLEAN)] AS done FROM (SELECT DISTINCT pair FROM p)
+ UNION ALL SELECT pair, k, CASE WHEN opens THEN NULL WHEN syn THEN coalesce(c, up) ELSE c END, CASE WHEN opens THEN NULL WHEN syn THEN coalesce(s, us) ELSE s END,
+ CASE WHEN opens THEN 0 WHEN syn THEN syns + 1 ELSE syns END, [CASE WHEN expired THEN struct_pack(c := c0, s := s0, syns := n0, ct := 0.0::DOUBLE, late := true) END,
+ CASE WHEN opens THEN struct_pack(c := c0, s := s0, syns := n0, ct := (us - s0) / 1e6, late := false) END] FROM (SELECT *, s IS NOT NULL AND ack AND up = c AS opens FROM
+ (SELECT r.pair, p.k, p.us, p.syn, p.ack, p.up, r.c AS c0, r.s AS s0, r.syns AS n0, r.s IS NOT NULL AND p.us > r.s + 80000000 AS expired,
+ CASE WHEN p.us > r.s + 80000000 THEN NULL ELSE r.c END AS c, CASE WHEN p.us > r.s + 80000000 THEN NULL ELSE r.s END AS s, CASE WHEN p.us > r.s + 80000000 THEN 0 ELSE r.syns END AS syns
+ FROM r JOIN p ON p.pair = r.pair AND p.k = r.k + 1))) FROM r),
+o AS (SELECT pair, d FROM (SELECT pair, unnest(done) AS d FROM r) WHERE d IS NOT NULL
+ UNION ALL SELECT pair, struct_pack(c := c, s := s, syns := syns, ct := 0.0::DOUBLE, late := true) FROM r WHERE s IS NOT NULL AND k = (SELECT max(k) FROM p WHERE p.pair = r.pair))
+SELECT CASE WHEN d.c THEN {TEN8} + pair ELSE {NET192} + pair % 5 END AS ip_clt, CASE WHEN d.c THEN 1024 + pair ELSE 443 END AS port_clt, CASE WHEN d.c THEN {NET192} + pair % 5 ELSE {TEN8} + pair END AS ip_srv,
+ CASE WHEN d.c THEN 443 ELSE 1024 + pair END AS port_srv, d.s AS us, d.syns AS syns, d.ct AS ct, d.late AS timed_out FROM o""")
+def socket_openings(spark, d):
+    out = packets.sockets(facts.packets(spark, d).where("ip_src IS NOT NULL"))
+    port = lambda c: F.col(c).cast("long").alias(c)
+    return out.select("ip_clt", port("port_clt"), "ip_srv", port("port_srv"), F.unix_micros("ts").alias("us"), "syns", "ct", "timed_out")
+
+
+@_query("""+p AS (SELECT *, CASE WHEN lag(up) OVER w = up AND us - lag(us) OVER w <= 500000 THEN 0 ELSE 1 END AS new FROM packets WHERE payload > 0 AND ip_src IS NOT NULL WINDOW w AS (PARTITION BY pair ORDER BY us, n)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY pair ORDER BY us, n) AS f FROM p)
+SELECT ip_proto, ip_src, port_src, ip_dst, port_dst, min(us) AS start, max(us) AS stop, count(*) AS packets, CAST(sum(payload) AS BIGINT) AS payload FROM s GROUP BY pair, f, ALL""".replace(", ALL", ", ip_proto, ip_src, port_src, ip_dst, port_dst"))
+def flow_sessions(spark, d):
+    out = packets.flows(facts.packets(spark, d).where("ip_src IS NOT NULL"))
+    return out.withColumns({"start": F.unix_micros("start"), "stop": F.unix_micros("stop")})
+
+
+@_query("""+p AS MATERIALIZED (SELECT mac_src, mac_dst, eth_proto, ip_src, ip_dst, ip_proto, CASE WHEN ip_proto IN (6, 17) THEN port_src END AS port_src, CASE WHEN ip_proto IN (6, 17) THEN port_dst END AS port_dst,
+ us, eth_payload, CASE WHEN ip_src IS NULL THEN 0 ELSE ip_payload END AS ip_payload, CASE WHEN ip_proto IN (6, 17) THEN l4_payload ELSE 0 END AS l4_payload, pair, up,
+ row_number() OVER (PARTITION BY pair, up ORDER BY us, n) AS k FROM packets),
+r AS (WITH RECURSIVE r AS (SELECT pair, up, k, us, us AS first FROM p WHERE k = 1
+ UNION ALL SELECT p.pair, p.up, p.k, p.us, CASE WHEN p.us - r.first <= 60000000 THEN r.first ELSE p.us END FROM r JOIN p ON p.pair = r.pair AND p.up = r.up AND p.k = r.k + 1) FROM r)
+SELECT mac_src, mac_dst, eth_proto, ip_src, ip_dst, ip_proto, port_src, port_dst, r.first AS start, max(p.us) AS stop, count(*) AS packets, CAST(sum(eth_payload) AS BIGINT) AS eth_payload,
+ max(eth_payload) AS mtu, CAST(sum(ip_payload) AS BIGINT) AS ip_payload, CAST(sum(l4_payload) AS BIGINT) AS l4_payload FROM p JOIN r USING (pair, up, k)
+ GROUP BY mac_src, mac_dst, eth_proto, ip_src, ip_dst, ip_proto, port_src, port_dst, r.first""")
+def traffic_sessions(spark, d):
+    out = packets.traffic(facts.packets(spark, d))
+    return out.withColumns({"start": F.unix_micros("start"), "stop": F.unix_micros("stop")})
 
 
 @_query("""SELECT user_id, min(ms) AS start, max(ms) + 3600000 AS stop, count(*) AS packets FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM

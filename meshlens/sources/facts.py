@@ -162,6 +162,30 @@ def tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Start of the packets' time in microseconds; it runs 3000 times as fast as that of the events they are made of.
+PACKETS_FROM, PACKETS_SPEED = 1_704_067_200_000_000, 3000
+
+
+def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as packets of 50 conversations, a seventh of them below addresses, a third without ports."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    pair, up = F.col("user_id") % 50, F.col("event_id") % 3 != 0
+    no_ip, size = pair % 7 == 6, F.floor("value").cast("long")
+    us = F.lit(PACKETS_FROM) + times.div(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") - PACKETS_FROM, PACKETS_SPEED)
+    address = lambda a, b: F.when(~no_ip, F.when(up, a).otherwise(b))
+    clt, srv = F.lit(167772160) + pair, F.lit(3232235520) + pair % 5
+    mac = lambda x: F.concat(F.lit("02:00:00:00:00:"), F.lower(F.lpad(F.hex(x), 2, "0")))
+    return rows.select(
+        F.col("event_id").alias("n"), F.timestamp_micros(us).alias("ts"), F.when(up, mac(pair)).otherwise(mac(pair % 5 + 100)).alias("mac_src"),
+        F.when(up, mac(pair % 5 + 100)).otherwise(mac(pair)).alias("mac_dst"), F.when(no_ip, 2054).otherwise(2048).alias("eth_proto"),
+        address(clt, srv).alias("ip_src"), address(srv, clt).alias("ip_dst"),
+        F.when(~no_ip, F.when(pair % 3 == 0, 6).when(pair % 3 == 1, 17).otherwise(1)).alias("ip_proto"),
+        address(1024 + pair, F.lit(443).cast("long")).cast("int").alias("port_src"), address(F.lit(443).cast("long"), 1024 + pair).cast("int").alias("port_dst"),
+        (F.col("event_type") == "view").alias("syn"), (F.col("event_type") == "click").alias("ack"), (size + 40).alias("eth_payload"), (size + 20).alias("ip_payload"),
+        size.alias("l4_payload"), size.alias("payload"),
+    )
+
+
 #: The same views in DuckDB's SQL.
 TRAFFIC_SQL = """traffic AS (SELECT epoch_us(least(o_orderdate, l_shipdate)) // 1000 AS start, epoch_us(greatest(o_orderdate, l_shipdate)) // 1000 AS stop,
  CAST(l_quantity AS BIGINT) AS packets, CAST(round(l_extendedprice * 100) AS BIGINT) AS eth_payload, 167772160 + l_suppkey AS ip_src,
@@ -177,3 +201,11 @@ WEB_SQL = """web AS (SELECT event_id, CAST(NULL AS INT) AS vlan, ip_clt, ip_srv,
  'www.h' || (ip_srv - 167772160) % 7 || '.example' AS host, '/' || name || '/' || event_id % 50 || '?k=' || event_id % 9 AS url FROM tx)"""
 TCP_SQL = """tcp AS (SELECT event_id, CAST(NULL AS INT) AS vlan, ip_clt, ip_srv, CAST(1024 + event_id % 5000 AS INT) AS port_clt, CASE WHEN event_id % 5 = 0 THEN 22 ELSE 443 END AS port_srv,
  start, 1 + event_id % 4 AS syns, 1::BIGINT AS rt_count, rt / 10 AS rt_min, rt / 10 AS rt_max, rt / 10 AS rt_avg, 0.0::DOUBLE AS rt_m2 FROM tx)"""
+PACKETS_SQL = f"""packets AS (SELECT n, us, CASE WHEN up THEN mc ELSE ms END AS mac_src, CASE WHEN up THEN ms ELSE mc END AS mac_dst, CASE WHEN no_ip THEN 2054 ELSE 2048 END AS eth_proto,
+ CASE WHEN no_ip THEN NULL WHEN up THEN clt ELSE srv END AS ip_src, CASE WHEN no_ip THEN NULL WHEN up THEN srv ELSE clt END AS ip_dst,
+ CASE WHEN no_ip THEN NULL WHEN pair % 3 = 0 THEN 6 WHEN pair % 3 = 1 THEN 17 ELSE 1 END AS ip_proto,
+ CAST(CASE WHEN no_ip THEN NULL WHEN up THEN 1024 + pair ELSE 443 END AS INT) AS port_src, CAST(CASE WHEN no_ip THEN NULL WHEN up THEN 443 ELSE 1024 + pair END AS INT) AS port_dst,
+ syn, ack, size + 40 AS eth_payload, size + 20 AS ip_payload, size AS l4_payload, size AS payload, up, pair FROM (SELECT *, 167772160 + pair AS clt, 3232235520 + pair % 5 AS srv,
+ '02:00:00:00:00:' || lower(lpad(to_hex(pair), 2, '0')) AS mc, '02:00:00:00:00:' || lower(lpad(to_hex(pair % 5 + 100), 2, '0')) AS ms, pair % 7 = 6 AS no_ip FROM
+ (SELECT event_id AS n, {PACKETS_FROM} + (epoch_us(ts) - {PACKETS_FROM}) // {PACKETS_SPEED} AS us, user_id % 50 AS pair, event_id % 3 <> 0 AS up, CAST(floor(value) AS BIGINT) AS size,
+ event_type = 'view' AS syn, event_type = 'click' AS ack FROM events)))"""
