@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,26 +32,30 @@ def distribution(x: Column) -> Column:
     return F.struct(F.count(x).alias("count"), F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("avg"), m2.alias("m2"))
 
 
-def merge_distributions(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Merge in two steps: the average A of each group, then m2 = sum(m2_i + n_i (avg_i - A)^2), which does not cancel.
+#: Parts into which the rows of a group are dealt before they are merged.
+SALTS = 8
+
+
+def merge_distributions(parts: DataFrame, keys: list[str], column: str, salts: int = SALTS) -> DataFrame:
+    """Merge by the average A of each group: m2 = sum(m2_i + n_i (avg_i - A)^2), which does not cancel.
 
-    Both steps combine before their shuffles; the averages, a row a group, are joined back null-safely.
+    One shuffle serves the averages and the sums of a group. Groups are first merged within ``salts`` parts, so that a hot one is no
+    single task; the second merge gets that many rows a group at most. The input is read once.
     """
-    d = F.col(column)
-    n = F.sum(d["count"])
-    wholes = parts.groupBy(*keys).agg(
-        n.alias("_n"), F.min(d["min"]).alias("_min"), F.max(d["max"]).alias("_max"), (F.sum(d["count"] * d["avg"]) / n).alias("_avg")
-    )
-    own = [f"_key{i}" for i in range(len(keys))]
-    averages = wholes.select(*[F.col(k).alias(o) for k, o in zip(keys, own)], "_avg")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own)], F.lit(True))
+    d, salt = F.col(column), "_salt"
+    own = parts.select(*keys, d, F.pmod(F.xxhash64(d), F.lit(salts)).alias(salt))
+    return _merged(_merged(own, [*keys, salt], column), keys, column)
+
+
+def _merged(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
+    d, group = F.col(column), Window.partitionBy(*keys)
+    average = F.sum(d["count"] * d["avg"]).over(group) / F.sum(d["count"]).over(group)
     apart = d["avg"] - F.col("_avg")
-    m2 = parts.select(*keys, column).join(averages, same).groupBy(*own).agg(F.sum(d["m2"] + d["count"] * apart * apart).alias("_m2"))
-    out = wholes.join(m2, same)
-    merged = F.struct(
-        F.col("_n").alias("count"), F.col("_min").alias("min"), F.col("_max").alias("max"), F.col("_avg").alias("avg"), F.col("_m2").alias("m2")
-    )
-    return out.select(*keys, merged.alias(column))
+    whole = parts.withColumn("_avg", average).groupBy(*keys).agg(
+        F.sum(d["count"]).alias("count"), F.min(d["min"]).alias("min"), F.max(d["max"]).alias("max"), F.min("_avg").alias("avg"),
+        F.sum(d["m2"] + d["count"] * apart * apart).alias("m2"),
+    )
+    return whole.select(*keys, F.struct("count", "min", "max", "avg", "m2").alias(column))
 
 
 def std_dev(count: Column, m2: Column) -> Column:

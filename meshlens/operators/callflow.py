@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshlens.functions import labels, net, numbers
 from meshlens.operators.intervals import interval_join, merge_windows
+from meshlens.operators.top import portion
 from meshlens.sources.staging import small_side, staged
 
 #: Rows of a call flow: flows have ports, packets and payload, transactions what they asked for and the answer.
@@ -21,23 +22,6 @@ _FLOW = ["ip_src", "ip_dst", "ip_proto", "port_src", "port_dst", "start", "stop"
 PUSHED_HOSTS = 200
 
 
-def portion(value: Column, a: Column, b: Column, lo: Column, hi: Column) -> Column:
-    """The share of ``value`` of the closed [a, b] that falls into [lo, hi[, cut to a whole number once for each end.
-
-    Products of a volume and milliseconds that are beyond a long go through decimals.
-    """
-
-    def part(v: Column, inside: Column, whole: Column) -> Column:
-        width = F.greatest(whole, F.lit(1))
-        short = F.try_multiply(v, inside)
-        wide = F.call_function("div", v.cast("decimal(19,0)") * inside.cast("decimal(18,0)"), width.cast("decimal(18,0)"))
-        return F.when(short.isNotNull(), F.call_function("div", short, width)).otherwise(wide)
-
-    first = F.when(a < lo, part(value, b - lo, b - a)).otherwise(value)
-    s = F.greatest(a, lo)
-    return F.when(b > hi, part(first, hi - s, b - s)).otherwise(first)
-
-
 def _only(flows: DataFrame, hosts: DataFrame, column: str, node: str) -> DataFrame:
     """``flows`` with the few hosts as a pushed filter; many are left to the join."""
     found = [r[0] for r in hosts.select(node).distinct().limit(PUSHED_HOSTS + 1).collect()]

@@ -9,21 +9,27 @@ from meshlens.functions.aggregates import INT_AGGREGATES
 from meshlens.functions.times import div
 
 
-def clipped(value: Column, start: int | None, stop: int | None) -> Column:
-    """The share of ``value`` of a row [start, stop] that falls into the query's time, in whole numbers."""
-    s, e, v = F.col("start"), F.col("stop"), value.cast("decimal(19,0)")
+def portion(value: Column, a: Column, b: Column, lo: Column | None, hi: Column | None) -> Column:
+    """The share of ``value`` of the closed [a, b] that falls into [lo, hi[ (null: no such end), cut to a whole number once for each end.
+
+    Products of a volume and milliseconds that are beyond a long go through decimals.
+    """
 
     def part(v: Column, inside: Column, whole: Column) -> Column:
-        """Products of a volume and milliseconds are beyond a long; their quotient is cut."""
-        product, width = v * inside.cast("decimal(18,0)"), F.greatest(whole, F.lit(1)).cast("decimal(18,0)")
-        return ((product - product % width) / width).cast("decimal(19,0)")
-
-    if start is not None:
-        v = F.when(s < start, part(v, e - start, e - s)).otherwise(v)
-        s = F.greatest(s, F.lit(start))
-    if stop is not None:
-        v = F.when(e > stop, part(v, stop - s, e - s)).otherwise(v)
-    return v.cast("long")
+        width = F.greatest(whole, F.lit(1))
+        short = F.try_multiply(v, inside)
+        wide = div(v.cast("decimal(19,0)") * inside.cast("decimal(18,0)"), width.cast("decimal(18,0)"))
+        return F.when(short.isNotNull(), div(short, width)).otherwise(wide)
+
+    first, s = value, a
+    if lo is not None:
+        first, s = F.when(a < lo, part(value, b - lo, b - a)).otherwise(value), F.greatest(a, lo)
+    return first if hi is None else F.when(b > hi, part(first, hi - s, b - s)).otherwise(first)
+
+
+def clipped(value: Column, start: int | None, stop: int | None) -> Column:
+    """The share of ``value`` of a row [start, stop] that falls into the query's time, in whole numbers."""
+    return portion(value.cast("long"), F.col("start"), F.col("stop"), *[None if t is None else F.lit(t).cast("long") for t in (start, stop)])
 
 
 def top(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import aggregates, labels, net, numbers, times
 from meshlens.operators import callflow as callflows
 from meshlens.operators import graphs, presets, rollups, series, top
-from meshlens.sources import facts
+from meshlens.sources import facts, levels, staging
 from meshlens.streaming import packets
 
 #: The queries' time: the first half of 1996 in weeks; January 2024 in hours for transactions.
@@ -163,9 +164,9 @@ def agg_bounds(spark, d):
 _DIST = "count(*) AS n, round(min(rt), 6) AS lo, round(max(rt), 6) AS hi, round(avg(rt), 6) AS av, round(var_pop(rt) * count(*), 4) AS m2"
 
 
-def _flat(out: DataFrame, *keys: str) -> DataFrame:
+def _flat(out: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
     r = F.col("rt")
-    return out.select(*keys, r["count"].alias("n"), *[F.round(r[c], k).alias(x) for c, k, x in (("min", 6, "lo"), ("max", 6, "hi"), ("avg", 6, "av"), ("m2", 4, "m2"))])
+    return out.select(*keys, r["count"].alias("n"), *[F.round(r[c], k).alias(x) for c, k, x in (("min", digits, "lo"), ("max", digits, "hi"), ("avg", digits, "av"), ("m2", digits * 3 // 4 if digits > 6 else 4, "m2"))])
 
 
 @_query(f"SELECT name, {_DIST} FROM tx GROUP BY 1")
@@ -572,23 +573,64 @@ def transaction_rollup(spark, d):
     return _flat(rollups.transaction_rollup(minutes, ["ip_srv", "name"], HOUR), "ip_srv", "name", "start")
 
 
+def _table(rows: DataFrame, name: str, write) -> str:
+    """Path of a new table of ``rows`` in the shared folder."""
+    path = f"{staging.shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    write(rows, path)
+    return path
+
+
+def _name_levels(spark, d) -> str:
+    """Levels of the events as name-server transactions."""
+    rt = F.col("rt")
+    one = F.struct(F.lit(1).cast("long").alias("count"), rt.alias("min"), rt.alias("max"), rt.alias("avg"), F.lit(0.0).alias("m2"))
+    rows = facts.transactions(spark, d).select("ip_srv", "name", "start", one.alias("rt"))
+    return _table(rows, "dns-levels", lambda r, path: levels.write_levels(r, path, "dns", ["ip_srv", "name"], "ip_srv", buckets=13))
+
+
 @_query(f"SELECT '1hour' AS level, start // {HOUR} * {HOUR} AS start, count(*) AS n FROM tx GROUP BY 2")
 def choose_lod(spark, d):
+    """A series by two hours' steps is read from the table of hours."""
     level = rollups.level_for("dns", 2 * HOUR)
-    step = rollups.LEVELS["dns"][level]
-    return facts.transactions(spark, d).groupBy(F.lit(level).alias("level"), times.floor_to(F.col("start"), step).alias("start")).agg(F.count("*").alias("n"))
+    rows = facts.read_table(spark, f"{_name_levels(spark, d)}/dns/{level}", ip="ip_srv", buckets=13)
+    return rows.groupBy(F.lit(level).alias("level"), "start").agg(F.sum("rt.count").alias("n"))
+
+
+_ODD = (TX_START + 5 * HOUR + 123_457, TX_STOP - 7 * HOUR - 77_777)
+
+
+@_query(f"SELECT ip_srv, {_DIST.replace(', 6)', ', 12)').replace(', 4)', ', 9)')} FROM tx WHERE start >= {_ODD[0]} AND start < {_ODD[1]} AND ip_srv >> 6 = {TEN8 >> 6} GROUP BY 1")
+def levels_name_range(spark, d):
+    """A range that no hour bounds: hours inside, minutes and single rows at its edges."""
+    rows = levels.read_levels(spark, _name_levels(spark, d), "dns", *_ODD, ["ip_srv", "name", "rt"], cidr=(TEN8, 26), ip="ip_srv", buckets=13)
+    return _flat(aggregates.merge_distributions(rows, ["ip_srv"], "rt"), "ip_srv", digits=12)
+
+
+@_query(f"""SELECT ip_proto, start // {HOUR} AS h, CAST(sum(packets) AS BIGINT) AS packets, CAST(sum(eth_payload) AS BIGINT) AS eth_payload, max(mtu) AS mtu FROM traffic
+ WHERE start >= {START} AND start < {STOP} AND ip_src BETWEEN {TEN8 + 8} AND {TEN8 + 11} GROUP BY 1, 2""")
+def levels_traffic_range(spark, d):
+    """Half a year of a subnet's traffic by hours, from the tables of minutes, ten minutes and hours."""
+    keys = ["ip_src", "ip_proto", "vlan"]
+    root = _table(facts.traffic(spark, d), "traffic-levels", lambda r, path: levels.write_levels(r, path, "traffic", keys, "ip_src", buckets=13))
+    rows = levels.read_levels(spark, root, "traffic", START, STOP, [*keys, "start", "packets", "eth_payload", "mtu"], wanted=HOUR, cidr=(TEN8 + 8, 30), buckets=13)
+    sums = [F.sum(c).cast("long").alias(c) for c in ("packets", "eth_payload")]
+    return rows.groupBy("ip_proto", times.div(F.col("start"), HOUR).alias("h")).agg(*sums, F.max("mtu").alias("mtu"))
+
+
+def _buckets(spark, d) -> str:
+    return _table(facts.traffic(spark, d), "traffic", lambda r, path: facts.write_table(r, path, "ip_src", buckets=13))
 
 
 @_query(f"SELECT start, stop, packets FROM traffic WHERE start >= {START} AND start < {START + WEEK}")
 def zone_prune(spark, d):
-    return facts.traffic(spark, d).where(F.col("start").between(START, START + WEEK - 1)).select("start", "stop", "packets")
+    """A week out of a stored table, whose row groups are skipped by time."""
+    return facts.read_table(spark, _buckets(spark, d), buckets=13, begins=(START, START + WEEK)).select("start", "stop", "packets")
 
 
 @_query(f"SELECT CAST(ip_src % 13 AS INT) AS ip_bucket, ip_src, count(*) AS n FROM traffic WHERE ip_src BETWEEN {TEN8 + 4} AND {TEN8 + 7} GROUP BY 1, 2")
 def bucket_prune(spark, d):
-    rows = facts.traffic(spark, d).withColumn("ip_bucket", net.bucket(F.col("ip_src"), 13))
-    wanted = rows.where(F.col("ip_bucket").isin(sorted({(TEN8 + 4 + i) % 13 for i in range(4)})))
-    return presets.traffic(wanted, ip_src=(TEN8 + 4, 30)).groupBy("ip_bucket", "ip_src").agg(F.count("*").alias("n"))
+    """A small subnet out of a stored table, of which only its buckets are read."""
+    return facts.read_table(spark, _buckets(spark, d), cidr=(TEN8 + 4, 30), buckets=13).groupBy("ip_bucket", "ip_src").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT 'traffic' AS kind, ip_src AS ip, start FROM traffic WHERE ip_proto = 1 UNION ALL SELECT 'dns', ip_srv, start FROM tx")

@@ -51,16 +51,22 @@ def dump_text(rows: DataFrame, path: str) -> None:
 
 
 def write_table(rows: DataFrame, path: str, ip: str, ts: str = "start", buckets: int = BUCKETS) -> None:
-    """Append to a table laid out by hash bucket of ``ip`` and, within files, by time, whose Parquet statistics are the zone map."""
+    """Append to a table laid out by hash bucket of ``ip`` and, within files, by time, whose Parquet statistics are the zone map.
+
+    Tasks write ranges of (bucket, time), so a bucket with many rows is many files, each of a span of time.
+    """
     out = rows.withColumn("ip_bucket", net.bucket(F.col(ip), buckets))
-    out.repartition("ip_bucket").sortWithinPartitions("ip_bucket", ts).write.partitionBy("ip_bucket").mode("append").parquet(path)
+    out.repartitionByRange("ip_bucket", ts).sortWithinPartitions("ip_bucket", ts).write.partitionBy("ip_bucket").mode("append").parquet(path)
 
 
 def read_table(
     spark: SparkSession, path: str, start: int | None = None, stop: int | None = None, cidr: tuple[int, int] | None = None,
-    ip: str = "ip_src", start_column: str = "start", stop_column: str = "stop", buckets: int = BUCKETS,
+    ip: str = "ip_src", start_column: str = "start", stop_column: str = "stop", buckets: int = BUCKETS, begins: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """Rows that overlap [start, stop[ with ``ip`` in ``cidr``; a subnet smaller than the buckets prunes partitions."""
+    """Rows that overlap [start, stop[, or begin in [begins[, with ``ip`` in ``cidr``; a subnet smaller than the buckets prunes partitions.
+
+    Times and addresses are compared as stored, so the scan gets them as pushed filters and skips row groups by their statistics.
+    """
     out = spark.read.parquet(path)
     if cidr is not None:
         net_, mask = cidr
@@ -73,6 +79,8 @@ def read_table(
         out = out.where(F.col(stop_column) >= start)
     if stop is not None:
         out = out.where(F.col(start_column) < stop)
+    if begins is not None:
+        out = out.where((F.col(start_column) >= begins[0]) & (F.col(start_column) < begins[1]))
     return out
 
 
@@ -89,10 +97,11 @@ def retained(rows: DataFrame, now: int, max_age: int, ts: str = "stop") -> DataF
     return rows.where(F.col(ts) >= now - max_age)
 
 
-def compact(spark: SparkSession, path: str, out: str, files: int = 1) -> None:
-    """Rewrite a table with few, time-ordered files a bucket."""
+def compact(spark: SparkSession, path: str, out: str, files: int | None = None) -> None:
+    """Rewrite a table with few, time-ordered files a bucket: tasks write ranges of (bucket, time), ``files`` of them or as many as Spark shuffles to."""
     rows = spark.read.parquet(path)
-    rows.repartition(files, "ip_bucket").sortWithinPartitions("ip_bucket", "start").write.partitionBy("ip_bucket").mode("overwrite").parquet(out)
+    ranges = rows.repartitionByRange("ip_bucket", "start") if files is None else rows.repartitionByRange(files, "ip_bucket", "start")
+    ranges.sortWithinPartitions("ip_bucket", "start").write.partitionBy("ip_bucket").mode("overwrite").parquet(out)
 
 
 def geo_join(rows: DataFrame, ip: str, geo: DataFrame, prefix: str) -> DataFrame:
