@@ -36,26 +36,26 @@ def distribution(x: Column) -> Column:
 SALTS = 8
 
 
-def merge_distributions(parts: DataFrame, keys: list[str], column: str, salts: int = SALTS) -> DataFrame:
+def merge_distributions(parts: DataFrame, keys: list[str], column: str, salts: int = SALTS, sums: tuple[str, ...] = ()) -> DataFrame:
     """Merge by the average A of each group: m2 = sum(m2_i + n_i (avg_i - A)^2), which does not cancel.
 
     One shuffle serves the averages and the sums of a group. Groups are first merged within ``salts`` parts, so that a hot one is no
-    single task; the second merge gets that many rows a group at most. The input is read once.
+    single task; the second merge gets that many rows a group at most. The input is read once. ``sums`` are summed besides.
     """
     d, salt = F.col(column), "_salt"
-    own = parts.select(*keys, d, F.pmod(F.xxhash64(d), F.lit(salts)).alias(salt))
-    return _merged(_merged(own, [*keys, salt], column), keys, column)
+    own = parts.select(*keys, d, *sums, F.pmod(F.xxhash64(d) + F.spark_partition_id(), F.lit(salts)).alias(salt))
+    return _merged(_merged(own, [*keys, salt], column, sums), keys, column, sums)
 
 
-def _merged(parts: DataFrame, keys: list[str], column: str) -> DataFrame:
+def _merged(parts: DataFrame, keys: list[str], column: str, sums: tuple[str, ...]) -> DataFrame:
     d, group = F.col(column), Window.partitionBy(*keys)
     average = F.sum(d["count"] * d["avg"]).over(group) / F.sum(d["count"]).over(group)
     apart = d["avg"] - F.col("_avg")
     whole = parts.withColumn("_avg", average).groupBy(*keys).agg(
         F.sum(d["count"]).alias("count"), F.min(d["min"]).alias("min"), F.max(d["max"]).alias("max"), F.min("_avg").alias("avg"),
-        F.sum(d["m2"] + d["count"] * apart * apart).alias("m2"),
+        F.sum(d["m2"] + d["count"] * apart * apart).alias("m2"), *[F.sum(c).cast("long").alias(f"_sum{i}") for i, c in enumerate(sums)],
     )
-    return whole.select(*keys, F.struct("count", "min", "max", "avg", "m2").alias(column))
+    return whole.select(*keys, F.struct("count", "min", "max", "avg", "m2").alias(column), *[F.col(f"_sum{i}").alias(c) for i, c in enumerate(sums)])
 
 
 def std_dev(count: Column, m2: Column) -> Column:

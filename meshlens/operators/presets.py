@@ -5,17 +5,30 @@ Free conditions are Columns or Spark SQL texts (``where``); Spark parses and com
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshlens.functions import net
+from meshlens.functions import addresses, net
 
 
-def _cidr(column: str, value: int | tuple[int, int]) -> Column:
-    n, m = (value, 32) if isinstance(value, int) else value
-    return net.in_cidr(F.col(column), n, m)
+def _cidr(df: DataFrame, column: str, value: int | tuple[int, int] | str) -> Column:
+    """``column`` is in ``value``: a number, (net, mask), or the text of an address or subnet of either family.
+
+    On rows whose addresses are subnets themselves (``mask_clt`` beside ``ip_clt``) both must share an address.
+    """
+    mask = "mask" + column[2:]
+    if not isinstance(value, str) and mask not in df.columns and df.schema[column].dataType.simpleString() == "bigint":
+        n, m = (value, 32) if isinstance(value, int) else value
+        return net.in_cidr(F.col(column), n, m)
+    if not isinstance(value, str):
+        n, m = (value, 32) if isinstance(value, int) else value
+        value = f"{ipaddress.ip_address(n)}/{m}"
+    own = F.col(column) if df.schema[column].dataType.simpleString() == addresses.ADDRESS else addresses.from_number(F.col(column))
+    other, m = addresses.literal(value)
+    return addresses.inter_cidr(own, F.col(mask), other, m) if mask in df.columns else addresses.in_cidr(own, other, m)
 
 
 def _all(conditions: list[Column | None], where: Column | str | None) -> Column:
@@ -39,9 +52,9 @@ def traffic(
     port_src=None, port_dst=None, port=None, vlan=None, no_vlan=False, where=None,
 ) -> DataFrame:
     """Traffic and flow rows; ``ip`` and ``port`` match either side, addresses are numbers or (net, mask)."""
-    either = [None if ip is None else _cidr("ip_src", ip) | _cidr("ip_dst", ip)]
+    either = [None if ip is None else _cidr(df, "ip_src", ip) | _cidr(df, "ip_dst", ip)]
     either.append(None if port is None else (F.col("port_src") == port) | (F.col("port_dst") == port))
-    either += [None if x is None else _cidr(c, x) for c, x in (("ip_src", ip_src), ("ip_dst", ip_dst))]
+    either += [None if x is None else _cidr(df, c, x) for c, x in (("ip_src", ip_src), ("ip_dst", ip_dst))]
     either.append(F.col("vlan").isNull() if no_vlan else None)
     equal = _equal(mac_src=mac_src, mac_dst=mac_dst, eth_proto=eth_proto, ip_proto=ip_proto, port_src=port_src, port_dst=port_dst, vlan=vlan)
     return df.where(_all([overlaps(start, stop), *either, *equal], where))
@@ -49,14 +62,15 @@ def traffic(
 
 def transactions(
     df: DataFrame, start=None, stop=None, server=None, client=None, peer=None, error=None, qname=None, methd=None, status=None, host=None,
-    url=None, rt_min=None, rt_max=None, tx_min=None, rt="rt_avg", count="rt_count", where=None,
+    url=None, rt_min=None, rt_max=None, tx_min=None, rt="rt_avg", count="rt_count", where=None, mac_clt=None, mac_srv=None, vlan=None, no_vlan=False,
 ) -> DataFrame:
-    """Name-server, web and socket rows; names and hosts match by their end, urls by their beginning."""
+    """Name-server, web and socket rows; names and hosts match by their end, urls by their beginning, clients that are subnets by a shared address."""
     tests = [overlaps(start, stop, "start", "start")]
-    tests += [None if x is None else _cidr(c, x) for c, x in (("ip_srv", server), ("ip_clt", client))]
-    tests.append(None if peer is None else _cidr("ip_srv", peer) | _cidr("ip_clt", peer))
+    tests += [None if x is None else _cidr(df, c, x) for c, x in (("ip_srv", server), ("ip_clt", client))]
+    tests.append(None if peer is None else _cidr(df, "ip_srv", peer) | _cidr(df, "ip_clt", peer))
     tests += [None if x is None else F.col(c).endswith(x) for c, x in (("name", qname), ("host", host))]
     tests.append(None if url is None else F.col("url").startswith(url))
     tests += [None if rt_min is None else F.col(rt) >= rt_min, None if rt_max is None else F.col(rt) <= rt_max]
     tests.append(None if tx_min is None else F.col(count) >= tx_min)
-    return df.where(_all([*tests, *_equal(error=error, methd=methd, status=status)], where))
+    tests.append(F.col("vlan").isNull() if no_vlan else None)
+    return df.where(_all([*tests, *_equal(error=error, methd=methd, status=status, mac_clt=mac_clt, mac_srv=mac_srv, vlan=vlan)], where))

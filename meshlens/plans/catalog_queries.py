@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshlens.functions import aggregates, labels, net, numbers, times
+from meshlens.functions import addresses, aggregates, labels, net, numbers, times
 from meshlens.operators import callflow as callflows
 from meshlens.operators import graphs, presets, rollups, series, top
 from meshlens.sources import facts, levels, staging
@@ -573,6 +573,79 @@ def transaction_rollup(spark, d):
     return _flat(rollups.transaction_rollup(minutes, ["ip_srv", "name"], HOUR), "ip_srv", "name", "start")
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Response times of single transactions as distributions."""
+    return rows.withColumn("rt", F.struct(*[F.col(f"rt_{c}").alias(c) for c in ("count", "min", "max", "avg", "m2")]))
+
+
+_SUBNETS = [(NET192 + 512, 25), (NET192 + 512, 23), (NET192, 24)]
+_BLUR = f"CASE WHEN ip_clt >> 7 = {NET192 + 512 >> 7} THEN 25 WHEN ip_clt >> 9 = {NET192 + 512 >> 9} THEN 23 WHEN ip_clt >> 8 = {NET192 >> 8} THEN 24 ELSE 32 END"
+
+
+@_query(f"""+b AS (SELECT *, ip_clt >> (32 - m) << (32 - m) AS net FROM (SELECT *, {_BLUR} AS m FROM web))
+SELECT net AS ip_clt, m AS mask_clt, status, start // {HOUR} * {HOUR} AS start, count(*) AS n, round(avg(rt_avg), 12) AS av FROM b
+ WHERE m >= 26 AND net >> 6 = {NET192 + 640 >> 6} OR m < 26 AND net >> (32 - m) = {NET192 + 640} >> (32 - m) GROUP BY 1, 2, 3, 4""")
+def client_subnet(spark, d):
+    """Rows of a rollup by client subnet that share an address with a subnet asked for."""
+    hours = rollups.transaction_rollup(_whole(facts.web(spark, d)), ["ip_clt", "ip_srv", "status"], HOUR, subnets=_SUBNETS)
+    rows = presets.transactions(hours, client=(NET192 + 640, 26))
+    out = aggregates.merge_distributions(rows, ["ip_clt", "mask_clt", "status", "start"], "rt")
+    return out.select("ip_clt", "mask_clt", "status", "start", F.col("rt.count").alias("n"), F.round("rt.avg", 12).alias("av"))
+
+
+@_query(f"""+f AS (SELECT ip_srv, port_srv, start // {HOUR} * {HOUR} AS start, ip_clt >> (32 - m) << (32 - m) AS ip_clt, m AS mask_clt, syns, rt_avg FROM (SELECT *, {_BLUR} AS m FROM tcp))
+SELECT ip_srv, port_srv, ip_clt, mask_clt, start, CAST(sum(syns) AS BIGINT) AS syns, count(*) AS n, round(max(rt_avg), 12) AS hi FROM f GROUP BY ALL""")
+def tcp_rollup(spark, d):
+    """Sockets by hour with client ports cleared, clients as subnets and SYNs summed."""
+    keys = ["ip_srv", "port_srv", "ip_clt", "port_clt"]
+    hours = rollups.transaction_rollup(_whole(facts.tcp(spark, d)), keys, HOUR, subnets=_SUBNETS, sums=("syns",))
+    return hours.where("port_clt = 0").select("ip_srv", "port_srv", "ip_clt", "mask_clt", "start", "syns", F.col("rt.count").alias("n"), F.round("rt.max", 12).alias("hi"))
+
+
+_WEB = f"start >= {TX_START} AND start < {TX_STOP} AND status = 200 AND methd = 4 AND suffix(host, '.example') AND starts_with(url, '/c') AND rt_avg >= 0.001 AND rt_avg <= 0.4"
+
+
+def _web(spark, d) -> DataFrame:
+    return presets.transactions(
+        facts.web(spark, d), start=TX_START, stop=TX_STOP, status=200, methd=4, host=".example", url="/c", rt_min=0.001, rt_max=0.4, tx_min=1, server="10.0.0.0/8", client=(NET192, 16)
+    )
+
+
+@_query(f"SELECT event_id, ip_srv, host, url, rt_avg FROM web WHERE {_WEB} ORDER BY rt_avg DESC, event_id LIMIT 25")
+def web_top_requests(spark, d):
+    return top.top_rows(_web(spark, d), "rt_avg", 25, True, "event_id").select("event_id", "ip_srv", "host", "url", "rt_avg")
+
+
+@_query(f"""+b AS (SELECT (start - {TX_START}) // {HOUR} AS row, count(*) AS count, min(rt_avg) AS lo, max(rt_avg) AS hi FROM web WHERE {_WEB} GROUP BY 1)
+SELECT r AS row, coalesce(count, 0) AS count, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi FROM range({_ROWS}) t(r) LEFT JOIN b ON b.row = r""")
+def web_resp_time(spark, d):
+    out = series.per_date(_web(spark, d), "rt_avg", TX_START, TX_STOP, HOUR)
+    return out.select("row", "count", F.col("min").alias("lo"), F.col("max").alias("hi"))
+
+
+@_query(f"SELECT ip_srv, CAST(floor(rt_avg / 0.02) AS BIGINT) AS bucket, count(*) AS n FROM web WHERE {_WEB} GROUP BY 1, 2")
+def web_distribution(spark, d):
+    return series.histogram(_web(spark, d), "ip_srv", "rt_avg", 0.02)
+
+
+_SIX = "CASE WHEN event_id % 3 = 0 THEN '2001:db8:' || lower(to_hex(user_id)) || '::' || lower(to_hex(event_id)) ELSE concat_ws('.', 10, event_id % 4, user_id % 256, event_id % 256) END"
+
+
+@_query(f"""SELECT CASE WHEN event_id % 3 = 0 THEN CASE WHEN user_id // 16 = 1 THEN '2001:db8:10::' WHEN user_id = 5 THEN '2001:db8:5::' ELSE '2001:db8::' END
+ WHEN event_id % 4 = 1 AND user_id % 256 < 16 THEN '10.1.0.0' WHEN event_id % 4 < 2 THEN '10.0.0.0' ELSE {_SIX} END AS net,
+ CASE WHEN event_id % 3 = 0 THEN CASE WHEN user_id // 16 = 1 THEN 44 WHEN user_id = 5 THEN 48 ELSE 32 END
+ WHEN event_id % 4 = 1 AND user_id % 256 < 16 THEN 20 WHEN event_id % 4 < 2 THEN 15 ELSE 32 END AS mask, count(*) AS n FROM events GROUP BY 1, 2""")
+def subnets_both_families(spark, d):
+    """Addresses of both families by the first configured subnet that holds them."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
+    hexed = lambda c: F.lower(F.hex(c))
+    four = F.concat_ws(".", F.lit("10"), *[x.cast("string") for x in (F.col("event_id") % 4, F.col("user_id") % 256, F.col("event_id") % 256)])
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("2001:db8:"), hexed("user_id"), F.lit("::"), hexed("event_id"))).otherwise(four)
+    known = addresses.subnet_table(spark, ["10.1.0.0/20", "2001:db8:10::/44", "2001:db8:5::/48", "2001:db8::/32", "10.0.0.0/15", "2001:db8:5::/64", "10.1.9.0/24"])
+    out = addresses.subnet_of(rows.select(addresses.parse(text).alias("ip")), "ip", known)
+    return out.groupBy(addresses.display(F.col("net")).alias("net"), "mask").agg(F.count("*").alias("n"))
+
+
 def _table(rows: DataFrame, name: str, write) -> str:
     """Path of a new table of ``rows`` in the shared folder."""
     path = f"{staging.shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
