@@ -67,6 +67,25 @@ def significant(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame
     return marked.select(*kept, "is_rest", "v").groupBy(*keys, "is_rest").agg(F.sum("v").cast("long").alias("v"))
 
 
+def significant_two_pass(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """The same as ``significant`` for values of 0 or more, without a sum for each key that occurs.
+
+    The first pass sketches the heavy keys: every key above an nth of the total is among at most 4 n candidates, since the sketch's error is a 2nth of the
+    total or less. They are broadcast to a second pass, which sums them exactly and everything else as one group; only these
+    are shuffled. Pays off where distinct keys are many, as pairs of addresses are.
+    """
+    name = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    rows = df.select(*keys, F.col(value).alias("_v"), name.alias("_key"))
+    found = heavy_hitters(rows, "_key", "_v", n, slots=2 * n).select(F.col("key").alias("_heavy"))
+    marked = rows.join(F.broadcast(found), F.col("_key") == F.col("_heavy"), "left")
+    heavy = F.col("_heavy").isNotNull()
+    sums = marked.groupBy(*[F.when(heavy, F.col(k)).alias(k) for k in keys], heavy.alias("_known")).agg(F.sum("_v").cast("long").alias("v"))
+    total = F.sum("v").over(Window.partitionBy())  # 4 n rows and one
+    ranked = sums.withColumn("is_rest", ~F.col("_known") | (F.col("v") < div(total, n).cast("long")))
+    kept = [F.when(~F.col("is_rest"), F.col(k)).alias(k) for k in keys]
+    return ranked.select(*kept, "is_rest", "v").groupBy(*keys, "is_rest").agg(F.sum("v").cast("long").alias("v"))
+
+
 def top_rows(df: DataFrame, by: str, n: int, largest: bool, *ties: str) -> DataFrame:
     """The ``n`` rows with the largest or smallest ``by``."""
     return df.orderBy(F.desc(by) if largest else F.asc(by), *ties).limit(n)

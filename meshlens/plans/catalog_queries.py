@@ -308,6 +308,20 @@ def resp_time_histogram(spark, d):
     return series.histogram(facts.transactions(spark, d), "name", "rt", 0.01)
 
 
+@_query("""+r AS (SELECT min(rt) AS a, max(rt) AS b FROM tx), w AS (SELECT CASE WHEN b > a THEN pow(2.0, ceil(log2((b - a) / 200))) ELSE 1.0 END AS width FROM r)
+SELECT name, CAST(floor(rt / width) AS BIGINT) AS bucket, width, count(*) AS n FROM tx, w GROUP BY 1, 2, 3""")
+def resp_time_histogram_auto(spark, d):
+    """Response times by buckets of a width that nobody gave."""
+    return series.histogram_of_unknown_range(facts.transactions(spark, d), "name", "rt")
+
+
+@_query("""+v AS (SELECT mac_src, mac_dst, CAST(sum(eth_payload) AS BIGINT) AS v FROM traffic GROUP BY 1, 2), t AS (SELECT CAST(sum(v) AS BIGINT) // 250 AS t FROM v)
+SELECT CASE WHEN v >= t THEN mac_src END AS mac_src, CASE WHEN v >= t THEN mac_dst END AS mac_dst, v < t AS is_rest, CAST(sum(v) AS BIGINT) AS v FROM v, t GROUP BY 1, 2, 3""")
+def peers_significant(spark, d):
+    """Pairs with more than a 250th of all volume, and the others."""
+    return top.significant_two_pass(facts.traffic(spark, d), ["mac_src", "mac_dst"], "eth_payload", 250)
+
+
 @_query("+v AS (SELECT port_dst, CAST(sum(packets) AS BIGINT) AS v FROM traffic GROUP BY 1) SELECT port_dst, v, CAST(sum(v) OVER () AS BIGINT) AS total, round(v / sum(v) OVER (), 9) AS share, round(v / max(v) OVER (), 9) AS weight FROM v")
 def share_of_total(spark, d):
     v = facts.traffic(spark, d).groupBy("port_dst").agg(F.sum("packets").cast("long").alias("v"))
