@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def parse_ip(text: Column) -> Column:
     """Number of a dotted quad; null for anything else."""
-    ok = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    parts = F.split(text, r"\.")
-    values = [F.get(parts, F.lit(i)).try_cast("long") for i in range(4)]
-    inside = reduce(lambda a, b: a & b, [v <= 255 for v in values])
-    return F.when(ok & inside, reduce(lambda a, b: a * 256 + b, values))
+    parts = F.transform(F.split(text, r"\."), lambda x: x.try_cast("int"))
+    ok = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda x: x <= 255)
+    return F.when(ok, F.conv(F.array_join(F.transform(parts, lambda x: F.lpad(F.hex(x), 2, "0")), ""), 16, 10).cast("long"))
 
 
 def format_ip(ip: Column) -> Column:

@@ -660,6 +660,17 @@ def subnets_both_families(spark, d):
     return out.groupBy(addresses.display(F.col("net")).alias("net"), "mask").agg(F.count("*").alias("n"))
 
 
+@_query("SELECT ip_clt, ip_srv, port_srv, methd, status, start, rt_avg, host, url, 'eth0' AS iface FROM web")
+def text_round_trip(spark, d):
+    """Web rows written as text lines and read back with every line checked."""
+    rows = facts.web(spark, d).withColumns({
+        "origin": F.struct(F.lit("iface").alias("kind"), F.lit("eth0").alias("name")), "mac_clt": F.lit("02:00:00:00:00:01"), "mac_srv": F.lit("02:00:00:00:00:02"),
+    })
+    path = _table(rows, "web-text", lambda r, to: facts.dump_text(r, to, "web"))
+    good, _ = facts.load_lines(spark, "web", path)
+    return good.select("ip_clt", "ip_srv", "port_srv", "methd", "status", "start", "rt_avg", "host", "url", F.col("origin.name").alias("iface"))
+
+
 def _table(rows: DataFrame, name: str, write) -> str:
     """Path of a new table of ``rows`` in the shared folder."""
     path = f"{staging.shared_dir(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshlens.functions import net, times
+from meshlens.functions import addresses, net, times
 
 _DISTRIBUTION = "rt_count long, rt_min double, rt_max double, rt_avg double, rt_m2 double"
 #: Columns of the five fact tables, in the order of their text form.
@@ -23,22 +23,82 @@ SCHEMAS = {
 BUCKETS = 1009
 
 
+_ADDRESSES = ("ip_src", "ip_dst", "ip_clt", "ip_srv")
+
+
+class BadLine(ValueError):
+    """A line of a text file that is no row of its metric."""
+
+
 def load_text(spark: SparkSession, metric: str, path: str, streaming: bool = False) -> DataFrame:
-    """Tab-separated rows of a metric; a line that doesn't parse fails the load."""
+    """Tab-separated rows of a metric; a line that doesn't parse fails the load. ``load_lines`` says which."""
     reader = (spark.readStream if streaming else spark.read).schema(SCHEMAS[metric]).option("sep", "\t").option("mode", "FAILFAST")
     return typed(reader.csv(path))
 
 
-def typed(rows: DataFrame) -> DataFrame:
-    """Text forms as numbers: times in milliseconds, addresses as bigint, ``None`` and ``Some n`` as a nullable int."""
+def load_lines(spark: SparkSession, metric: str, path: str, wide: bool = False, stop: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of a metric's text files, and the lines that are none: (file, line, text, fields).
+
+    A line is bad if it has too few or too many fields or one that doesn't parse; ``fields`` names these (empty: their number). With ``stop`` the first
+    bad line of the first file raises ``BadLine``, else bad lines are left to the caller, as a side table. ``wide`` reads addresses of both
+    families. Lines are parsed where they lie; only for files with bad lines, and only if these are asked for, are the lines of each split counted, which
+    gives a line its number however the file was split. Empty files and empty lines at the end have no rows.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
+    )
+    fields = F.split("value", "\t", -1)
+    names = [x.split()[0] for x in SCHEMAS[metric].split(", ")]
+    forms = [x.split() for x in SCHEMAS[metric].split(", ")]
+    text = lines.select("*", F.transform(fields, lambda x: F.nullif(x, F.lit(""))).alias("_f"))
+    rows = typed(text.select("*", *[F.get("_f", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(forms)]), wide)
+
+    def wrong(i: int, name: str) -> Column:
+        """A field that has no value though it must: empty only where a text may be, null only where it says so."""
+        given = F.get("_f", F.lit(i))
+        excused = given.isNull() if name in _TEXTS else given == "None" if name == "vlan" else F.lit(False)
+        return F.when(F.col(name).isNull() & ~F.coalesce(excused, F.lit(False)), F.lit(name))
+
+    names = [x[0] for x in forms]
+    faults = F.when(F.size("_f") == len(names), F.array_compact(F.array(*[wrong(i, c) for i, c in enumerate(names)])))
+    checked = rows.withColumn("_wrong", F.coalesce(faults, F.array(F.lit(None).cast("string"))))  # one null: the number of fields
+    checked = checked.withColumn("_bad", F.size("_wrong") > 0)
+    bad = _numbered(checked.where("_bad").select("file", "_block", "_id", F.col("value").alias("text"), F.array_compact("_wrong").alias("fields")), lines)
+    if stop and (first := bad.orderBy("file", "line").first()) is not None:
+        raise BadLine(f"{first.file}:{first.line}: {', '.join(first.fields) or 'number of fields'}: {first.text!r}")
+    return checked.where("NOT _bad").select(*[c for c in rows.columns if not c.startswith("_") and c not in ("value", "file")]), bad
+
+
+#: Columns that may be empty.
+_TEXTS = ("name", "host", "url")
+
+
+def _numbered(bad: DataFrame, lines: DataFrame) -> DataFrame:
+    """Bad lines with the number each has in its file: its place in its split after the lines of the splits before."""
+    task = F.shiftright("_id", 33)
+    of_files = lines.join(bad.select("file").distinct(), "file", "left_semi")
+    splits = of_files.groupBy("file", "_block", task.alias("_task")).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("file", "_block", "_first", "_before")
+    return bad.join(splits, ["file", "_block"]).select("file", (F.col("_id") - F.col("_first") + F.col("_before") + 1).alias("line"), "text", "fields")
+
+
+def typed(rows: DataFrame, wide: bool = False) -> DataFrame:
+    """Text forms as numbers: times in milliseconds, addresses as bigint (``wide``: of both families), ``None`` and ``Some n`` as a nullable int.
+
+    Clients that are subnets (``net/mask``) keep their mask in ``mask_clt``.
+    """
     changes: dict[str, Column] = {}
     for c in rows.columns:
         if c in ("start", "stop"):
             changes[c] = times.parse_sniffed(F.col(c))
         elif c == "vlan":
             changes[c] = F.regexp_extract("vlan", r"^Some (-?\d+)$", 1).try_cast("int")
-        elif c.startswith("ip_") and c in ("ip_src", "ip_dst", "ip_srv", "ip_clt"):
-            changes[c] = net.parse_ip(F.substring_index(c, "/", 1))
+        elif c in _ADDRESSES:
+            host = F.substring_index(c, "/", 1)
+            changes[c] = addresses.parse(host) if wide else net.parse_ip(host)
+            if c == "ip_clt":
+                changes["mask_clt"] = F.when(F.col(c).contains("/"), F.substring_index(c, "/", -1).try_cast("int")).otherwise(F.when(F.col(c).contains(":"), 128).otherwise(32))
         elif c.startswith("mac_"):
             changes[c] = net.mac(F.col(c))
     if "origin" in rows.columns:
@@ -46,8 +106,33 @@ def typed(rows: DataFrame) -> DataFrame:
     return rows.withColumns(changes)
 
 
-def dump_text(rows: DataFrame, path: str) -> None:
-    rows.write.option("sep", "\t").mode("overwrite").csv(path)
+def written(rows: DataFrame, metric: str) -> DataFrame:
+    """Rows of a metric in their text forms, the columns in their order: what ``typed`` undoes."""
+    out = []
+    for c in (x.split()[0] for x in SCHEMAS[metric].split(", ")):
+        x = F.col(c)
+        if c in ("start", "stop"):
+            out.append(F.concat(times.div(x, 1000).cast("string"), F.lit("s "), (F.pmod(x, F.lit(1000)) * 1000).cast("string"), F.lit("us")).alias(c))
+        elif c == "vlan":
+            out.append(F.coalesce(F.concat(F.lit("Some "), x.cast("string")), F.lit("None")).alias(c))
+        elif c in _ADDRESSES:
+            text = net.format_ip(x) if rows.schema[c].dataType.simpleString() == "bigint" else addresses.display(x)
+            if c == "ip_clt" and "mask_clt" in rows.columns:
+                whole = F.when(text.contains(":"), 128).otherwise(32)
+                text = F.when(F.col("mask_clt") < whole, F.concat(text, F.lit("/"), F.col("mask_clt").cast("string"))).otherwise(text)
+            out.append(text.alias(c))
+        elif c == "origin":
+            out.append(F.concat_ws(" ", "origin.kind", "origin.name").alias(c))
+        else:
+            out.append(x.cast("string").alias(c))
+    return rows.select(*out)
+
+
+def dump_text(rows: DataFrame, path: str, metric: str = "traffic") -> None:
+    """Tab-separated text of a metric's rows, as ``load_text`` and ``load_lines`` read it."""
+    shown = written(rows, metric)
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in shown.columns])
+    shown.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_table(rows: DataFrame, path: str, ip: str, ts: str = "start", buckets: int = BUCKETS) -> None:
