@@ -18,13 +18,13 @@ def strip_zeros(text: Column) -> Column:
 
 
 def scaled(x: Column, base: float, up: list[str], down: list[str], digits: int) -> Column:
-    """``x`` with the suffix that leaves a mantissa of 1 or more and below ``base`` where there is one."""
+    """``x`` with the suffix that leaves a mantissa of 1 or more and below ``base``, as it is shown, where there is one."""
     size = F.abs(x.cast("double"))
     out = None
     steps = [(base**i, s) for i, s in enumerate(up)] + [(base**-i, s) for i, s in enumerate(down) if i]
     for factor, suffix in sorted(steps):
         text = F.concat(strip_zeros(F.format_string(f"%.{digits}f", x.cast("double") / factor)), F.lit(suffix))
-        out = text if out is None else F.when(size >= factor, text).otherwise(out)
+        out = text if out is None else F.when(size >= factor - 0.5 * 10.0**-digits * factor / base, text).otherwise(out)
     return F.when(size == 0, "0").otherwise(out)
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import calendar
 import re
 from dataclasses import dataclass
+from datetime import UTC, datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,8 +91,62 @@ class Interval:
         return Interval(-self.months, -self.ms)
 
     def after(self, ts: Column) -> Column:
-        """Calendar-aware ``ts`` plus this."""
-        return ts + F.make_interval(months=F.lit(int(self.months))) + F.make_dt_interval(secs=F.lit(self.ms / 1000))
+        """Calendar-aware ``ts`` plus this; a part of a month is that part of an average one."""
+        whole = int(self.months)
+        rest = self.ms + (self.months - whole) * UNIT_MS["month"]
+        return ts + F.make_interval(months=F.lit(whole)) + F.make_dt_interval(secs=F.lit(rest / 1000))
+
+    def __lt__(self, other: Interval) -> bool:
+        """By length, months and years as averages."""
+        return self.seconds < other.seconds
+
+    def added_to(self, ms: int) -> int:
+        """The same for a time in milliseconds, in UTC; a day beyond its month's end is its last."""
+        at, whole = datetime.fromtimestamp(ms // 1000, UTC), int(self.months)
+        year, month = divmod(at.year * 12 + at.month - 1 + whole, 12)
+        day = min(at.day, calendar.monthrange(year, month + 1)[1])
+        moved = at.replace(year=year, month=month + 1, day=day)
+        return int(moved.timestamp()) * 1000 + ms % 1000 + round(self.ms + (self.months - whole) * UNIT_MS["month"])
+
+
+_DATE = re.compile(r"(\d{4})[-/](\d{1,2})(?:[-/](\d{1,2})(?:\s+(\d{1,2})(?::(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?)?)?)?")
+_CLOCK = re.compile(r"(\d{1,2}):(\d{1,2})(?::(\d{1,2}(?:\.\d*)?))?")
+
+
+def moment(year: int, month: int = 1, day: int = 1, hour: int = 0, minute: int = 0, second: float = 0.0, zone: str = "UTC") -> int:
+    """Milliseconds of a date and time of day, whose parts are checked; years are 1970 to 2100, a second of 60 is the next minute's first."""
+    if not 1970 <= year <= 2100 or not 0 <= second <= 60:
+        raise ValueError(f"no time: year {year}, second {second}")
+    base = datetime(year, month, day, hour, minute, tzinfo=ZoneInfo(zone))
+    return int(base.timestamp()) * 1000 + round(second * 1000)
+
+
+def parse_time(text: str, now: int, zone: str = "UTC") -> int:
+    """Milliseconds of a time as people write it, ``now`` being the time of the question.
+
+    ``now``; a date with as much of a time of day as is given (a month alone too); a time of today; an interval such as ``-2 hours``, which counts from
+    now; seconds and microseconds as packets have them; seconds since 1970. Anything else is a ValueError.
+    """
+    told = text.strip()
+    if told.lower() == "now":
+        return now
+    if found := _DATE.fullmatch(told):
+        parts = [int(x) for x in found.groups()[:5] if x is not None]
+        return moment(*parts, **({"second": float(found[6])} if found[6] else {}), zone=zone)
+    if found := _CLOCK.fullmatch(told):
+        today = datetime.fromtimestamp(now // 1000, ZoneInfo(zone))
+        return moment(today.year, today.month, today.day, int(found[1]), int(found[2]), float(found[3] or 0), zone)
+    if found := re.fullmatch(r"(\d+)s (\d+)us", told):
+        return int(found[1]) * 1000 + (int(found[2]) + 499) // 1000
+    if re.fullmatch(r"[+-]?\d+(\.\d*)?", told):
+        return int(float(told) * 1000)
+    return Interval.parse(told).added_to(now)
+
+
+def parse_range(start: str, stop: str, now: int, zone: str = "UTC", shift: int = 0) -> tuple[int, int]:
+    """Both ends of a query's time, swapped if reversed, moved by ``shift`` times its length: -1 is the range before, 1 the one after."""
+    a, b = sorted((parse_time(start, now, zone), parse_time(stop, now, zone)))
+    return a + shift * (b - a), b + shift * (b - a)
 
 
 def fixed_step(span_ms: int, wanted_ms: int | None = None) -> int:

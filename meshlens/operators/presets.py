@@ -74,3 +74,8 @@ def transactions(
     tests.append(None if tx_min is None else F.col(count) >= tx_min)
     tests.append(F.col("vlan").isNull() if no_vlan else None)
     return df.where(_all([*tests, *_equal(error=error, methd=methd, status=status, mac_clt=mac_clt, mac_srv=mac_srv, vlan=vlan)], where))
+
+
+def with_virtual(df: DataFrame) -> DataFrame:
+    """Name-server and web rows with their computed fields: ``queries``, how many a row stands for, and ``stop``, its start plus the longest response."""
+    return df.withColumns({"queries": F.col("rt_count"), "stop": F.col("start") + F.floor(F.col("rt_max") * 1000).cast("long")})

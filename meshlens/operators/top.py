@@ -33,9 +33,10 @@ def clipped(value: Column, start: int | None, stop: int | None) -> Column:
 
 
 def top(
-    df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]], sort: str, n: int = 20, start: int | None = None, stop: int | None = None
+    df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]], sort: str, n: int = 20, start: int | None = None, stop: int | None = None,
+    ranked: bool = False,
 ) -> DataFrame:
-    """The ``n`` keys with the largest sum of ``sort``, a row of the others and one of the total.
+    """The ``n`` keys with the largest sum of ``sort``, a row of the others and one of the total; with ``ranked`` in this order, ``rank`` from 1.
 
     ``aggregates`` maps names to (aggregate, field), aggregates being max, min, sum and avg over whole numbers.
     The sort value alone is clipped to the query's time. Adds sort_value and kind ('key', 'others', 'total'); ties are broken by key. Groups are combined before the shuffle and only the ranking of
@@ -52,7 +53,12 @@ def top(
     groups = marked.select(*kept, "_best", *[f for f in fields if f in df.columns and f not in keys])
     groups = groups.groupBy("_best", *keys).agg(*aggs).withColumn("kind", F.when(F.col("_best"), "key").otherwise("others")).drop("_best")
     total = df.agg(*aggs).select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "*", F.lit("total").alias("kind"))
-    return groups.unionByName(total)
+    out = groups.unionByName(total)
+    if not ranked:
+        return out
+    place = F.when(F.col("kind") == "key", 0).when(F.col("kind") == "others", 1).otherwise(2)
+    order = [place, F.desc("sort_value"), *[F.asc_nulls_first(k) for k in keys]]
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(*order))).orderBy("rank")  # n + 2 rows
 
 
 def significant(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:

@@ -293,6 +293,18 @@ def top_single_pass(spark, d):
     return top.top(_inside(spark, d), ["vlan", "port_dst"], _AGGREGATES, "packets", 12, START, STOP)
 
 
+@_query(f"""{_top_sql(["port_dst"], "eth_payload", {}, 3, "ip_proto = 6", False).replace("sort_value,", "sort_value").replace(", FROM", " FROM")}""".replace("SELECT port_dst, CASE WHEN best", "SELECT *, CAST(row_number() OVER (ORDER BY CASE kind WHEN 'key' THEN 0 WHEN 'others' THEN 1 ELSE 2 END, sort_value DESC, port_dst) AS INT) AS rank FROM (SELECT port_dst, CASE WHEN best") + ")")
+def top_ranked(spark, d):
+    """The three ports with the most payload, the others and the total, with their rank."""
+    return top.top(presets.traffic(facts.traffic(spark, d), ip_proto=6), ["port_dst"], {}, "eth_payload", 3, ranked=True)
+
+
+@_query(f"""SELECT ip_srv, CAST(sum(rt_count) AS BIGINT) AS queries, max(start + CAST(floor(rt_max * 1000) AS BIGINT)) AS stop FROM web WHERE start + CAST(floor(rt_max * 1000) AS BIGINT) >= {TX_START + HOUR} GROUP BY 1""")
+def virtual_fields(spark, d):
+    rows = presets.transactions(presets.with_virtual(facts.web(spark, d)), where=F.col("stop") >= TX_START + HOUR)
+    return rows.groupBy("ip_srv").agg(F.sum("queries").alias("queries"), F.max("stop").alias("stop"))
+
+
 @_query("SELECT event_id, ip_srv, name, rt FROM tx ORDER BY rt, event_id LIMIT 30")
 def top_requests_asc(spark, d):
     return top.top_rows(facts.transactions(spark, d), "rt", 30, False, "event_id").select("event_id", "ip_srv", "name", "rt")
