@@ -17,9 +17,8 @@ def portion(value: Column, a: Column, b: Column, lo: Column | None, hi: Column |
 
     def part(v: Column, inside: Column, whole: Column) -> Column:
         width = F.greatest(whole, F.lit(1))
-        short = F.try_multiply(v, inside)
         wide = div(v.cast("decimal(19,0)") * inside.cast("decimal(18,0)"), width.cast("decimal(18,0)"))
-        return F.when(short.isNotNull(), div(short, width)).otherwise(wide)
+        return F.when(F.abs(v.cast("double")) * inside.cast("double") < 9e18, div(v * inside, width)).otherwise(wide)
 
     first, s = value, a
     if lo is not None:
