@@ -285,8 +285,11 @@ def _may_link_finely(x: str, y: str, percent: int) -> Column:
 
 
 def _sets_of(docs: DataFrame, needed: DataFrame, task, shape: str) -> DataFrame:
-    """What ``task`` makes of the set of each class of ``needed`` (cls, rep), once."""
-    found = docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(task, shape)
+    """What ``task`` makes of the set of each class of ``needed`` (cls, rep), once. Sets that only rows without an id have are looked for among these."""
+    rows = docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    if not needed.where("rep IS NULL").isEmpty():
+        rows = rows.unionByName(docs.where("doc_id IS NULL"))
+    found = rows.mapInArrow(task, shape)
     return found.join(small_side(needed.select("cls")), "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -309,8 +312,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     ``docs`` needs ``doc_id`` (integer) and ``text``; other columns are ignored. Returns one row per row of
     ``docs``: doc_id, n_shingles (set size) and component_id, the smallest doc_id that links reach.
     Null or empty texts have an empty set, link with nothing and are their own component. Shorter texts
-    than ``n`` words are one shingle. Rows with a null doc_id are returned with their own set size and take
-    the component of their set (null if nothing else is in it). Repeated rows with one doc_id each keep
+    than ``n`` words are one shingle. Rows with a null doc_id link and bridge as others
+    do and take the smallest doc_id of their component (null if no row of it has one). Repeated rows with one doc_id each keep
     their row. An empty table gives an empty result.
     """
     docs = plain(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -319,7 +322,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     classes = described.where("cls is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), *[F.first(b).alias(b) for b in _WORDS]
     )
-    classes = staged(classes.where("rep is not null"), "classes")
+    classes = staged(classes, "classes")
 
     often = docs.mapInArrow(_frequent(n), "token long, df long").groupBy("token").agg(F.sum("df").alias("df"))
     often = often.where(F.col("df") >= FREQUENT_DF).orderBy(F.desc("df"), "token").limit(FREQUENT)
