@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meshlens.functions import addresses, aggregates, labels, net, numbers, times
 from meshlens.operators import callflow as callflows
 from meshlens.operators import graphs, presets, rollups, series, top
-from meshlens.sources import facts, levels, staging
+from meshlens.sources import facts, levels, segments, staging
 from meshlens.streaming import packets
 
 #: The queries' time: the first half of 1996 in weeks; January 2024 in hours for transactions.
@@ -743,6 +743,26 @@ def bucket_prune(spark, d):
     return facts.read_table(spark, _buckets(spark, d), cidr=(TEN8 + 4, 30), buckets=13).groupBy("ip_bucket", "ip_src").agg(F.count("*").alias("n"))
 
 
+_HALF_YEAR, _RETAINED_AT, _MAX_AGE = 26 * WEEK, 915_148_800_000, 6 * 31_536_000_000
+
+
+@_query(f"""+slices AS (SELECT start // {_HALF_YEAR} AS slice, count(*) AS n, CAST(sum(eth_payload) AS BIGINT) AS eth_payload, max(stop) AS last FROM traffic GROUP BY 1),
+ sized AS (SELECT *, sum(n) OVER newest AS newer, row_number() OVER newest AS place, sum(n) OVER () AS total FROM slices WINDOW newest AS (ORDER BY last DESC, slice DESC))
+ SELECT slice, n, eth_payload FROM sized WHERE place = 1 OR ({_RETAINED_AT} - last <= {_MAX_AGE} AND newer <= total // 2)""")
+def retention_by_size(spark, d):
+    """What a stored table holds after two appends, compaction and a purge by age and by half of its rows."""
+    path = f"{staging.shared_dir(spark)}/retained-{uuid.uuid4().hex}"
+    rows = staging.staged(facts.traffic(spark, d).select("start", "stop", "ip_src", "ip_proto", "eth_payload"), "traffic")
+    for part in ("ip_proto = 6", "ip_proto <> 6"):
+        segments.append(rows.where(part), path, "ip_src", slice_ms=_HALF_YEAR, buckets=3)
+    segments.compact(spark, path)
+    total = segments.segments(spark, path).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    segments.purge(spark, path, _RETAINED_AT, segments.Retention(max_age=_MAX_AGE, max_rows=total // 2))
+    segments.vacuum(spark, path)
+    kept = segments.read(spark, path, buckets=3)
+    return kept.groupBy(times.div(F.col("start"), _HALF_YEAR).alias("slice")).agg(F.count("*").alias("n"), F.sum("eth_payload").cast("long").alias("eth_payload"))
+
+
 @_query("SELECT 'traffic' AS kind, ip_src AS ip, start FROM traffic WHERE ip_proto = 1 UNION ALL SELECT 'dns', ip_srv, start FROM tx")
 def union_transactions(spark, d):
     flows = presets.traffic(facts.traffic(spark, d), ip_proto=1).select(F.lit("traffic").alias("kind"), F.col("ip_src").alias("ip"), "start")

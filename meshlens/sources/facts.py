@@ -152,7 +152,14 @@ def read_table(
 
     Times and addresses are compared as stored, so the scan gets them as pushed filters and skips row groups by their statistics.
     """
-    out = spark.read.parquet(path)
+    out = pruned(spark.read.parquet(path), start, stop, cidr, ip, start_column, stop_column, buckets)
+    if begins is not None:
+        out = out.where((F.col(start_column) >= begins[0]) & (F.col(start_column) < begins[1]))
+    return out
+
+
+def pruned(out: DataFrame, start: int | None, stop: int | None, cidr: tuple[int, int] | None, ip: str, start_column: str, stop_column: str, buckets: int) -> DataFrame:
+    """Filters that a scan of a bucketed table takes as its own."""
     if cidr is not None:
         net_, mask = cidr
         size = 1 << (32 - mask)
@@ -164,8 +171,6 @@ def read_table(
         out = out.where(F.col(stop_column) >= start)
     if stop is not None:
         out = out.where(F.col(start_column) < stop)
-    if begins is not None:
-        out = out.where((F.col(start_column) >= begins[0]) & (F.col(start_column) < begins[1]))
     return out
 
 
