@@ -300,25 +300,45 @@ def register(spark: SparkSession) -> None:
 def page_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) as WARC records; equal payloads of that many bytes are kept once.
 
-    Of a group of equal payloads that with the largest page_id is the response and the others revisit it.
-    A null html is an empty payload, a null page_id the id 'page:null', which is never the response of others.
+    Of a group of equal payloads that with the largest page_id is the response and the others revisit it; of several rows with
+    that page_id one with the smallest url (null first) is the response. A null html is an empty payload, a null page_id the id 'page:null',
+    which is never the response of others; rows that all lack an id are all responses. A payload of any length is one value of a row.
     """
     pages = plain(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     pages = pages.withColumn("key", F.sha1(F.encode("html", "utf-8")))
     pages = pages.withColumn("n", F.octet_length("html").cast("long"))
-    groups = pages.where(F.col("n") >= min_revisit_bytes).groupBy("key").agg(F.max("page_id").alias("first"), F.count("*").alias("copies"))
-    groups = staged(groups.where("copies > 1").select("key", "first"), "groups")
+    ids = pages.where(F.col("n") >= min_revisit_bytes).groupBy("key", "page_id").agg(F.count("*").alias("c"))
+    groups = ids.groupBy("key").agg(F.max(F.struct("page_id", "c")).alias("m"), F.sum("c").alias("copies")).where("copies > 1")
+    groups = staged(groups.select("key", F.col("m.page_id").alias("first"), F.col("m.c").alias("ties")), "groups")
     pages = pages.join(small_side(groups, 500_000), "key", "left")
+    tied = F.coalesce((F.col("page_id") == F.col("first")) & (F.col("ties") > 1), F.lit(False))
     copy = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    decided = lambda df: df.select("key", "page_id", "url", "n", "html", "first", copy.alias("copy"))
+    rows = decided(pages)
+    if not groups.where("first is not null AND ties > 1").isEmpty():
+        rows = decided(pages.where(~tied)).unionByName(_one_response(pages.where(tied)))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    return pages.select(
-        F.when(copy, "revisit").otherwise("response").alias("record_type"), name(F.col("page_id")).alias("record_id"),
+    return rows.select(
+        F.when(F.col("copy"), "revisit").otherwise("response").alias("record_type"), name(F.col("page_id")).alias("record_id"),
         F.col("url").alias("target_uri"), F.concat(F.lit("sha1:"), _base32(F.col("key"))).alias("payload_digest"),
-        F.when(copy, name(F.col("first"))).alias("refers_to"), F.lit(None).cast("string").alias("date"),
-        F.col("n").alias("payload_bytes"), F.when(copy, F.lit(b"")).otherwise(F.encode("html", "utf-8")).alias("payload"),
+        F.when(F.col("copy"), name(F.col("first"))).alias("refers_to"), F.lit(None).cast("string").alias("date"),
+        F.col("n").alias("payload_bytes"), F.when(F.col("copy"), F.lit(b"")).otherwise(F.encode("html", "utf-8")).alias("payload"),
     )
 
 
+def _one_response(tied: DataFrame) -> DataFrame:
+    """Rows of one page_id and payload: one is the response, the others revisit it. Rows of a url are counted before they move, html goes once a key."""
+    urls = tied.groupBy("key", "page_id", "n", "first", "url").agg(F.count("*").alias("c"))
+    lead = tied.groupBy("key").agg(F.min(F.struct("url", "html")).alias("lead"))
+    counted = urls.join(lead.select("key", F.col("lead.url").alias("lead_url")), "key")
+    left = F.col("c") - F.when(F.col("url").eqNullSafe(F.col("lead_url")), 1).otherwise(0)
+    revisits = counted.withColumn("left", left).where("left > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
+    revisits = revisits.select("key", "page_id", "url", "n", F.lit("").alias("html"), "first", F.lit(True).alias("copy"))
+    ids = urls.select("key", "page_id", "n", "first").distinct()
+    responses = ids.join(lead, "key").select("key", "page_id", F.col("lead.url").alias("url"), "n", F.col("lead.html").alias("html"), "first", F.lit(False).alias("copy"))
+    return responses.unionByName(revisits)
+
+
 def _base32(hexadecimal):
     """Base32 of 40 hexadecimal digits: 5 digits are 4 letters."""
     digits = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -346,7 +366,8 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to an archive folder in the shared folder and read it back.
 
     One row a row of ``pages``: page_id, payload_bytes, payload_digest (bare), record_type, refers_to. Bytes and digest
-    of responses come from the decoded payload, those of revisits from their header. An empty table gives an empty result.
+    of responses come from the decoded payload, those of revisits from their header. Null ids, repeated rows and ties are as in ``page_records``.
+    An empty table gives an empty result.
     """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
