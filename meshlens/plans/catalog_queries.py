@@ -664,9 +664,13 @@ _SIX = "CASE WHEN event_id % 3 = 0 THEN '2001:db8:' || lower(to_hex(user_id)) ||
 def subnets_both_families(spark, d):
     """Addresses of both families by the first configured subnet that holds them."""
     rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
-    hexed = lambda c: F.lower(F.hex(c))
+    group = lambda c, at: F.lower(F.hex(F.shiftright(c, at).bitwiseAND(F.lit(0xFFFF))))
+    user, event = F.coalesce("user_id", F.lit(-1)).cast("long"), F.col("event_id").cast("long")
+    # a group has four digits: users beyond them share the last one's network, and hosts in it have the whole numbers
+    network = F.when(user.between(0, 0xFFFF), user).otherwise(0xFFFF)
+    six = F.concat_ws(":", F.lit("2001:db8"), group(network, 0), *[group(user, at) for at in (16, 0)], *[group(event, at) for at in (32, 16, 0)])
     four = F.concat_ws(".", F.lit("10"), *[x.cast("string") for x in (F.col("event_id") % 4, F.col("user_id") % 256, F.col("event_id") % 256)])
-    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("2001:db8:"), hexed("user_id"), F.lit("::"), hexed("event_id"))).otherwise(four)
+    text = F.when(F.col("event_id") % 3 == 0, six).otherwise(four)
     known = addresses.subnet_table(spark, ["10.1.0.0/20", "2001:db8:10::/44", "2001:db8:5::/48", "2001:db8::/32", "10.0.0.0/15", "2001:db8:5::/64", "10.1.9.0/24"])
     out = addresses.subnet_of(rows.select(addresses.parse(text).alias("ip")), "ip", known)
     return out.groupBy(addresses.display(F.col("net")).alias("net"), "mask").agg(F.count("*").alias("n"))
