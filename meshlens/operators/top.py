@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshlens.functions.aggregates import INT_AGGREGATES
 from meshlens.functions.times import div
+from meshlens.sources.staging import staged
 
 
 def portion(value: Column, a: Column, b: Column, lo: Column | None, hi: Column | None) -> Column:
@@ -31,6 +31,16 @@ def clipped(value: Column, start: int | None, stop: int | None) -> Column:
     return portion(value.cast("long"), F.col("start"), F.col("stop"), *[None if t is None else F.lit(t).cast("long") for t in (start, stop)])
 
 
+#: What is kept of a field for each key, and how the aggregates of several keys come of it.
+_PARTS = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
+_MERGED = {
+    "max": lambda f: F.coalesce(F.max(f"_max_{f}"), F.lit(0)),
+    "min": lambda f: F.coalesce(F.min(f"_min_{f}"), F.lit(0)),
+    "sum": lambda f: F.coalesce(F.sum(f"_sum_{f}"), F.lit(0)).cast("long"),
+    "avg": lambda f: F.coalesce(F.try_divide(F.sum(f"_sum_{f}") - F.sum(f"_sum_{f}") % F.sum(f"_count_{f}"), F.sum(f"_count_{f}")), F.lit(0)).cast("long"),
+}
+
+
 def top(
     df: DataFrame, keys: list[str], aggregates: dict[str, tuple[str, str]], sort: str, n: int = 20, start: int | None = None, stop: int | None = None,
     ranked: bool = False,
@@ -38,20 +48,24 @@ def top(
     """The ``n`` keys with the largest sum of ``sort``, a row of the others and one of the total; with ``ranked`` in this order, ``rank`` from 1.
 
     ``aggregates`` maps names to (aggregate, field), aggregates being max, min, sum and avg over whole numbers.
-    The sort value alone is clipped to the query's time. Adds sort_value and kind ('key', 'others', 'total'); ties are broken by key. Groups are combined before the shuffle and only the ranking of
-    groups uses one ordered pass: a top-n by rank limit, joined back by broadcast of n rows.
+    The sort value alone is clipped to the query's time. Adds sort_value and kind ('key', 'others', 'total'); ties are broken by key. ``df`` is read once: it is
+    grouped by key with sums, counts and extremes, which are combined before the shuffle and staged, and ranking, others and total are made of these
+    rows of keys: a top-n by rank limit, joined back by broadcast of n rows.
     """
-    value = F.sum(clipped(F.col(sort), start, stop)).cast("long").alias("sort_value")
-    best = df.groupBy(*keys).agg(value).orderBy(F.desc("sort_value"), *[F.asc_nulls_first(k) for k in keys]).limit(n)
+    parts = {"_v": F.sum(clipped(F.col(sort), start, stop)).cast("long")}  # of each key, from which all rows of the result are made
+    for field in sorted({f for _, f in aggregates.values()}):
+        used = {a for a, f in aggregates.values() if f == field}
+        parts |= {f"_{a}_{field}": part(F.col(field)) for a, part in _PARTS.items() if a in used or (a in ("sum", "count") and "avg" in used)}
+    sums = staged(df.groupBy(*keys).agg(*[x.alias(name) for name, x in parts.items()]), "sums")
+    best = sums.orderBy(F.desc("_v"), *[F.asc_nulls_first(k) for k in keys]).limit(n)
     best = best.select(*keys, F.lit(True).alias("_best"))
-    same = [df[k].eqNullSafe(best[k]) for k in keys]
-    marked = df.join(F.broadcast(best), same, "left").select(df["*"], F.coalesce("_best", F.lit(False)).alias("_best"))
+    same = [sums[k].eqNullSafe(best[k]) for k in keys]
+    marked = sums.join(F.broadcast(best), same, "left").select(sums["*"], F.coalesce("_best", F.lit(False)).alias("_best"))
     kept = [F.when(F.col("_best"), F.col(k)).alias(k) for k in keys]
-    aggs = [value, *[INT_AGGREGATES[a](F.col(f)).alias(name) for name, (a, f) in aggregates.items()]]
-    fields = sorted({f for _, f in aggregates.values()} | {sort, "start", "stop"})
-    groups = marked.select(*kept, "_best", *[f for f in fields if f in df.columns and f not in keys])
-    groups = groups.groupBy("_best", *keys).agg(*aggs).withColumn("kind", F.when(F.col("_best"), "key").otherwise("others")).drop("_best")
-    total = df.agg(*aggs).select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "*", F.lit("total").alias("kind"))
+    aggs = [F.sum("_v").cast("long").alias("sort_value"), *[_MERGED[a](f).alias(name) for name, (a, f) in aggregates.items()]]
+    groups = marked.select(*kept, "_best", *parts).groupBy("_best", *keys).agg(*aggs)
+    groups = groups.withColumn("kind", F.when(F.col("_best"), "key").otherwise("others")).drop("_best")
+    total = sums.agg(*aggs).select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], "*", F.lit("total").alias("kind"))
     out = groups.unionByName(total)
     if not ranked:
         return out
