@@ -9,7 +9,9 @@ with enough words and enough of them equal is a fuzzy passage.
 
 The one text may be a wrong one: words that two texts share may have their seeds' references in as many others that hold bits of them.
 So runs of shared seeds that are long enough for a passage, but in none, go to a next round, in which only such runs are references of each
-other; short bits are no longer among them. Rounds end when one finds nothing or leaves over nine tenths of its seeds.
+other; short bits are no longer among them. When a round finds nothing or leaves over nine tenths of its seeds, what all rounds have left is compared
+with every text that could share a passage with it, one by one: those that have one of its rare seeds, or two of its frequent ones at distances which
+a passage has (``_spans``).
 
 Equal texts are one text. The groups that tasks hold are the matches of a single text, which are no
 more than its words; hot seeds are combined before the shuffle, and their join is one that Spark splits.
@@ -320,6 +322,93 @@ def _passages(min_words: int, min_same: float):
     return run
 
 
+def _reach(min_words: int) -> tuple[int, int, int]:
+    """Least and largest distance of two seeds of a text that every passage with one other text has, and the largest that the other may have them at.
+
+    A chain's first and last seed lie within contexts of its ends, and seeds next to each other no further apart than contexts reach, so its first seed and
+    the first one at the least distance or more are such two. Up to that one, the other text has a gap of its own after each seed at most.
+    """
+    low = max(0, min_words - 2 * CONTEXT - K)
+    high = low + K + 2 * CONTEXT
+    return low, high, high + 2 * CONTEXT * (max(0, low - 1) // K + 1)
+
+
+def _spans(low: int, high: int):
+    """(span, key): each two seeds of a text in order, at distances of ``low`` to ``high`` words. Rows come sorted by (key, pos); few of the last ones are held."""
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            given = [batch.column(c).to_numpy().astype(np.int64) for c in ("seed", "key", "pos")]
+            done = len(held[0])
+            seed, key, pos = (np.concatenate(x) for x in zip(held, given))
+            step = 0 if low == 0 else 1
+            while True:  # a distance in rows; each is at least one word
+                at = np.arange(max(done, step), len(key))
+                ahead = at[key[at] == key[at - step]]
+                apart = pos[ahead] - pos[ahead - step]
+                if step and not (len(ahead) and apart.min() <= high):
+                    break
+                ahead = ahead[(apart >= low) & (apart <= high)]
+                if len(ahead):
+                    span = kernels.mix(kernels.mix(seed[ahead - step].view(np.uint64)) * np.uint64(3) + seed[ahead].view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(span)), pa.array(key[ahead])], names=["span", "key"])
+                step += 1
+            if len(key):
+                keep = (key == key[-1]) & (pos >= pos[-1] - high)
+                held = [x[keep] for x in (seed, key, pos)]
+
+    return run
+
+
+#: Seeds that more places have are frequent; texts with one span of these are dealt into tiles of about so many.
+HOT_SEED, SPAN_TILE = 32, 1024
+
+
+def _compared_with_all(left: DataFrame, found: DataFrame, min_words: int, min_same: float, shape: str) -> DataFrame:
+    """Passages of the seeds ``left`` (key, pos) with every text of ``found`` (seed, key, pos, around) that has a smaller key, whatever reference seeds have.
+
+    Pairs of texts have a rare seed or a span of frequent ones in common. Spans that many texts have are tiled, and no task holds their pairs; these are as many as
+    the texts' square where a stretch of more words than ``_reach`` asks for, but no passage, is common to them all.
+    """
+    low, high, others_high = _reach(min_words)
+    found = found.select("seed", "key", "pos", "around", F.col("ref").alias("first"))
+    mine = staged(found.join(small_side(left, 1_000_000), ["key", "pos"], "left_semi"), "mine")
+    wanted = staged(mine.select("seed").distinct(), "wanted")
+    theirs = staged(found.join(small_side(wanted), "seed", "left_semi"), "theirs")
+    hot = staged(theirs.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEED).select("seed"), "hot")
+    rare, often = ([x.join(small_side(hot), "seed", how) for x in (mine, theirs)] for how in ("left_anti", "left_semi"))
+    # pairs with a rare seed, by which a text has fewer partners than that; what it shares with its seeds' references has been compared already
+    met = rare[0].select("seed", "key", "pos", "first").join(rare[1].groupBy("seed", F.col("key").alias("ref")).agg(F.min("pos").alias("ref_pos")), "seed").where("ref < key")
+    apart = [(F.max(c) - F.min(c)) >= low for c in ("pos", "ref_pos")]
+    met = met.groupBy("key", "ref").agg((F.bool_or(F.col("first") != F.col("ref")) & apart[0] & apart[1]).alias("likely"))
+    more = staged(often[0].select("key").distinct().withColumn("more", F.lit(True)), "more")
+    pairs = met.join(small_side(more), "key", "left").where("likely OR more").select("key", "ref")
+
+    def spans(rows: DataFrame, most: int) -> DataFrame:
+        rows = rows.select("seed", "key", "pos").repartition("key").sortWithinPartitions("key", "pos")
+        return rows.mapInArrow(_spans(low, most), "span long, key long")
+
+    # pairs that share frequent seeds alone
+    own = staged(spans(often[0], high).distinct(), "own")
+    other = spans(often[1], others_high).distinct().join(small_side(own.select("span").distinct()), "span", "left_semi")
+    other = staged(other.withColumnRenamed("key", "ref"), "other")
+    sizes = other.groupBy("span").agg(F.ceil(F.count("*") / SPAN_TILE).cast("int").alias("tiles")).where("tiles > 1")
+    sizes = staged(sizes, "sizes")
+    tiles = F.coalesce("tiles", F.lit(1))
+    own, other = (x.join(small_side(sizes), "span", "left").withColumn("tiles", tiles) for x in (own, other))
+    own = own.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).drop("tiles")
+    other = other.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    pairs = pairs.union(own.join(other, ["span", "tile"]).where("ref < key").select("key", "ref"))
+    pairs = staged(pairs.distinct(), "pairs")  # the smallest key keeps a passage
+    # as in the rounds, a seed stands for its first place in the other text: a line that both repeat makes no product of its places
+    places = theirs.groupBy(F.col("key").alias("ref"), "seed").agg(F.min(F.struct("pos", "around")).alias("r"))
+    places = places.select("ref", "seed", F.col("r.pos").alias("ref_pos"), F.col("r.around").alias("ref_around"))
+    with_all = mine.join(pairs, "key").join(places, ["ref", "seed"])
+    rows = with_all.select("key", "ref", "pos", "ref_pos", "around", "ref_around").repartition("key").sortWithinPartitions("key", "ref", "pos", "ref_pos")
+    return staged(rows.mapInArrow(_passages(min_words, min_same), shape).where("around is null").select(*_PASSAGE), "with-all")
+
+
 _PASSAGE = ["key", "ref", "start_word", "end_word", "ref_start", "ref_end", "equal_words"]
 
 
@@ -348,11 +437,13 @@ def passages_of_texts(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
     selves = found.where("key = ref").select("key", "ref", "pos", F.col("pos").alias("ref_pos"), "around", F.lit(bytes(2 * CONTEXT)).alias("ref_around"))
     matches = matches.unionByName(selves)
     shape = ", ".join(f"{c} long" for c in _PASSAGE) + ", around binary"
-    rounds, left = [], None
+    rounds, left, unresolved_ones = [], None, None
     while True:
         rows = matches.select(*sides).repartition("key").sortWithinPartitions("key", "ref", "pos", "ref_pos")
         out = staged(rows.mapInArrow(_passages(min_words, min_same), shape), "passages")
         new = out.where("around is null").select(*_PASSAGE)
+        if unresolved_ones is None:
+            unresolved_ones = out.where("around is not null").select("key", F.col("start_word").cast("int").alias("pos"))
         if rounds and new.isEmpty():
             break
         rounds.append(new)
@@ -364,6 +455,12 @@ def passages_of_texts(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
         if not left or (before is not None and left > 0.9 * before):
             break
         matches = seeds.join(small_side(refs, 1_000_000), ["r", "p"])
+    if not unresolved_ones.isEmpty():
+        for more in rounds[1:]:
+            within = more.select(F.col("key").alias("k"), F.col("start_word").alias("a"), F.col("end_word").alias("b"))
+            unresolved_ones = unresolved_ones.join(within, F.expr(f"key = k AND pos >= a AND pos + {K} <= b"), "left_anti")
+        unresolved_ones = staged(unresolved_ones, "unresolved")
+        rounds.append(_compared_with_all(unresolved_ones, found, min_words, min_same, shape))
     found = functools.reduce(DataFrame.unionByName, rounds)
     if len(rounds) == 1:
         return found

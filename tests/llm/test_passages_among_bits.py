@@ -50,3 +50,36 @@ def test_recall_among_bits_and_edits(spark):
 def test_overlapping_pieces_count_once():
     pieces = [(0, 40, 5, 45, 30, 1), (20, 60, 0, 40, 30, 2)]
     assert substrings.merged(pieces, 50, 0.6) == [(1, 0, 60, 5, 45, 40)] and substrings.merged(pieces, 50, 0.75) == []
+
+
+def test_passage_whose_references_stay_unresolved(spark):
+    """Texts with bits of it have long unresolved runs themselves, so they are its seeds' references in every round."""
+    rng = random.Random(3)
+    fill = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = fill(60)
+    texts = [" ".join([*fill(20), *shared, *fill(20)]) for _ in range(2)]
+    for _ in range(60):
+        other = fill(30)
+        for _ in range(2):
+            a = rng.randrange(48)
+            texts.append(" ".join([*fill(15), *shared[a : a + 13], *other, *fill(15)]))
+    got = spans(spark, texts)
+    assert len(got) == 1 and got[0][0] in (0, 1) and abs(got[0][1] - 20) <= 1 and abs(got[0][2] - 80) <= 1
+
+
+def test_spans_over_batches():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = sorted({(int(k), int(p)) for k, p in zip(rng.integers(0, 5, 300), rng.integers(0, 200, 300))})
+    seeds = [int(x) for x in rng.integers(-(1 << 62), 1 << 62, len(rows))]
+    for low, high in ((21, 50), (0, 30)):
+        want = sum(j[0] == i[0] and low <= j[1] - i[1] <= high for i in rows for j in rows if j >= i)
+        found = []
+        for size in (1, 7, 1000):
+            table = pa.table({"seed": pa.array(seeds), "key": pa.array([r[0] for r in rows]), "pos": pa.array([r[1] for r in rows], pa.int32())})
+            got = [x for b in substrings._spans(low, high)(iter(table.to_batches(max_chunksize=size))) for x in zip(*(c.to_pylist() for c in b.columns))]
+            assert len(got) == want
+            found.append(sorted(got))
+        assert found[0] == found[1] == found[2]
