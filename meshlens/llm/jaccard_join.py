@@ -12,7 +12,8 @@ members are tested against one pivot (linear in the bucket), pivots of one shing
 that still hold several components test their members against a second pivot, drawn by shingle, so that a group
 of near copies that shares many shingles meets many pivots. Only buckets that are mixed even then go on to tiles,
 salted by the bucket's size, where members of different components meet; their bitmaps grow with the band's sizes, so
-that near copies just below the threshold are refused there, before any pair is made. Pairs inside one component need no test, so a group of N near
+that near copies just below the threshold are refused there, before any pair is made. A pair that meets in many buckets
+is made in the first of them, and in no other of which its sets still know a common one before it. Pairs inside one component need no test, so a group of N near
 copies never becomes N^2 pairs.
 """
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +38,8 @@ SALTED_DF = 64
 SALTS = 64
 #: A tile holds about so many members a side.
 TILE = 1024
+#: Earlier places of a set that each of its places in tiles knows, so that a pair is made in few of those where it meets.
+EARLIER = 8
 #: Bitmaps in tiles have about so many bits an element, up to so many 64-bit words; beyond, they bound less sharply.
 TILE_BITS, TILE_WORDS = 16, 64
 _WORDS = [f"b{i}" for i in range(8)]
@@ -284,6 +287,24 @@ def _may_link_finely(x: str, y: str, percent: int) -> Column:
     return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
+def _with_earlier(places: DataFrame) -> DataFrame:
+    """``places`` (token, cls, band) with the tokens of the places next before each; a set's places in a band are at most its prefix."""
+    nearest = Window.partitionBy("cls", "band").orderBy("token").rowsBetween(-EARLIER, -1)
+    return places.withColumn("earlier", F.collect_list("token").over(nearest))
+
+
+def _met(places: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that meet in a tile and may link, of each at least its first meeting."""
+    x = places.where("band = own").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    y = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))
+    once = (F.col("x.band") > F.col("y.own")) | (F.col("x.cls") < F.col("y.cls"))
+    apart = (F.col("x.component") != F.col("y.component")) & once
+    first = ~F.arrays_overlap("x.earlier", "y.earlier")  # else the pair meets there too; at its first token it has none
+    pairs = x.alias("x").join(y.alias("y"), same & apart & _may_link("x", "y", percent) & first & _may_link_finely("x", "y", percent))
+    return pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+
+
 def _sets_of(docs: DataFrame, needed: DataFrame, task, shape: str) -> DataFrame:
     """What ``task`` makes of the set of each class of ``needed`` (cls, rep), once. Sets that only rows without an id have are looked for among these."""
     rows = docs.join(small_side(needed.select(F.col("rep").alias("doc_id")).distinct()), "doc_id", "left_semi")
@@ -378,18 +399,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
         live = staged(tile.groupBy("token", "band").agg(*ends).where("lo <> hi AND owned").select("token", "band"), "live")
         tile = staged(tile.join(small_side(live), ["token", "band"], "left_semi"), "places")  # where two components meet
         needed = staged(tile.select("cls").distinct().join(classes.select("cls", "rep"), "cls"), "needed")
+        tile = staged(_with_earlier(tile), "earlier")
         maps = _sets_of(docs, needed, _tile_maps(n, percent), "cls long, own_map array<long>, next_map array<long>")
         tile = tile.join(staged(maps.join(shapes, "cls"), "maps"), "cls")
         own = F.col("band") == F.col("own")
         y = tile.withColumn("map", F.when(own, F.col("own_map")).otherwise(F.col("next_map"))).drop("own_map", "next_map")
-        x = y.where(own).withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-        y = y.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        same = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.salt") == F.col("y.salt"))
-        once = (F.col("x.band") > F.col("y.own")) | (F.col("x.cls") < F.col("y.cls"))
-        apart = (F.col("x.component") != F.col("y.component")) & once
-        more = x.alias("x").join(y.alias("y"), same & apart & _may_link("x", "y", percent) & _may_link_finely("x", "y", percent))
-        more = more.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-        links = links.union(_verified(docs, classes, more, n, percent))
+        links = links.union(_verified(docs, classes, _met(y, percent).distinct(), n, percent))
         joined = connected_components(links)
 
     named = joined.join(classes.select(F.col("cls").alias("node"), "rep"), "node").select("node", "component", "rep")
