@@ -28,6 +28,8 @@ from .common import plain, small_side, staged
 GENERATION_BYTES = 48_000_000
 #: What a kept word takes beside its letters and ids: two objects and its place in the table.
 ENTRY_BYTES = 190
+#: Unknown words that go to the tokenizer as one text.
+TOGETHER = 500
 #: Code points in which this module splits words exactly as the tokenizer does; other texts go to it whole.
 _PLAIN = re.compile(r"[^\t\n\r\x20-\x7e -ɏ]|<\|")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ɏ²³¹¼½¾]+")
@@ -52,12 +54,27 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _encoded_words(self, words: list[str]) -> list[bytes]:
+        """As ``_encoded`` for words of ``_SPLIT``: many go as one text with spaces between, which the tokenizer splits into the same words."""
+        out = []
+        for at in range(0, len(words), TOGETHER):
+            part = words[at : at + TOGETHER]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, owner = np.array(found.ids, "<u4"), found.word_ids  # a token added to the vocabulary has no word
+            first = kernels.group_starts(np.array(owner, np.int64)) if None not in owner else ids[:0]
+            if len(first) == len(part):
+                data, ends = ids.tobytes(), [*(4 * first[1:]).tolist(), 4 * len(ids)]
+                out += [data[a:b] for a, b in zip((4 * first).tolist(), ends)]
+            else:
+                out += self._encoded(part)
+        return out
+
     def _ids(self, words: set[str]) -> dict[str, bytes]:
         """A table that has ``words``."""
         new = [x for x in words if x not in self.young]
         moved = {x: self.elder[x] for x in new if x in self.elder}
         unknown = [x for x in new if x not in moved]
-        moved.update(zip(unknown, self._encoded(unknown)))
+        moved.update(zip(unknown, self._encoded_words(unknown)))
         self.size += sum(len(x) + len(ids) + ENTRY_BYTES for x, ids in moved.items())
         self.young.update(moved)
         table = self.young
