@@ -23,7 +23,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 PLACEHOLDER = -1e8
 _WORD = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
-#: Counts kept per worker before the table is emptied.
+#: Counts that a worker keeps in each of two generations: when the younger one is full it becomes the elder, and words in use stay.
 KEPT_WORDS = 150_000
 
 
@@ -51,11 +51,21 @@ class UnigramCounter:
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.by_word = not any(SPACE in p.lstrip(SPACE) or "\n" in p for p, _ in pieces)
+        self.singles = {piece for piece, _ in pieces if len(piece) == 1}
         self.kept: dict[str, int] = {}
+        self.elder: dict[str, int] = {}
 
     def viterbi(self, word: str) -> int:
         """Pieces of the best segmentation of ``word``."""
         size = len(word)
+        if self.singles.issuperset(word):  # every place is reached by pieces; of one end the automaton gives the longest first
+            score, count = [0.0] + [float("-inf")] * size, [0] * (size + 1)
+            for end, (length, own) in self.automaton.iter(word):
+                end += 1
+                total = score[end - length] + own
+                if total > score[end]:
+                    score[end], count[end] = total, count[end - length] + 1
+            return count[size]
         ends: list[list[tuple[int, float]]] = [[] for _ in range(size)]
         for end, found in self.automaton.iter(word):
             ends[end].append(found)
@@ -88,9 +98,12 @@ class UnigramCounter:
         for word in words:
             n = kept.get(word)
             if n is None:
-                n = self.viterbi(word)
+                n = self.elder.get(word)
+                if n is None:
+                    n = self.viterbi(word)
                 if len(kept) >= KEPT_WORDS:
-                    kept.clear()
+                    self.elder, self.kept = kept, {}
+                    kept = self.kept
                 if len(word) <= 64:
                     kept[word] = n
             total += n
