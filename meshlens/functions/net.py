@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def parse_ip(text: Column) -> Column:
     """Number of a dotted quad; null for anything else."""
-    parts = F.transform(F.split(text, r"\."), lambda x: x.try_cast("int"))
-    ok = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & F.forall(parts, lambda x: x <= 255)
-    return F.when(ok, F.conv(F.array_join(F.transform(parts, lambda x: F.lpad(F.hex(x), 2, "0")), ""), 16, 10).cast("long"))
+    parts = [F.split_part(text, F.lit("."), F.lit(i + 1)).try_cast("long") for i in range(4)]
+    ok = text.rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & (F.greatest(*parts) <= 255)
+    return F.when(ok, sum((F.shiftleft(x, 8 * (3 - i)) for i, x in enumerate(parts)), F.lit(0).cast("long")))
 
 
 def format_ip(ip: Column) -> Column:

@@ -47,15 +47,14 @@ def load_lines(spark: SparkSession, metric: str, path: str, wide: bool = False,
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id")
     )
-    fields = F.split("value", "\t", -1)
-    names = [x.split()[0] for x in SCHEMAS[metric].split(", ")]
     forms = [x.split() for x in SCHEMAS[metric].split(", ")]
-    text = lines.select("*", F.transform(fields, lambda x: F.nullif(x, F.lit(""))).alias("_f"))
-    rows = typed(text.select("*", *[F.get("_f", F.lit(i)).try_cast(kind).alias(name) for i, (name, kind) in enumerate(forms)]), wide)
+    field = lambda i: F.nullif(F.get("_f", F.lit(i)), F.lit(""))
+    text = lines.select("*", F.split("value", "\t", -1).alias("_f"))
+    rows = typed(text.select("*", *[field(i).try_cast(kind).alias(name) for i, (name, kind) in enumerate(forms)]), wide)
 
     def wrong(i: int, name: str) -> Column:
         """A field that has no value though it must: empty only where a text may be, null only where it says so."""
-        given = F.get("_f", F.lit(i))
+        given = field(i)
         excused = given.isNull() if name in _TEXTS else given == "None" if name == "vlan" else F.lit(False)
         return F.when(F.col(name).isNull() & ~F.coalesce(excused, F.lit(False)), F.lit(name))
 
@@ -63,10 +62,14 @@ def load_lines(spark: SparkSession, metric: str, path: str, wide: bool = False,
     faults = F.when(F.size("_f") == len(names), F.array_compact(F.array(*[wrong(i, c) for i, c in enumerate(names)])))
     checked = rows.withColumn("_wrong", F.coalesce(faults, F.array(F.lit(None).cast("string"))))  # one null: the number of fields
     checked = checked.withColumn("_bad", F.size("_wrong") > 0)
+    own = [c for c in rows.columns if not c.startswith("_") and c not in ("value", "file")]
     bad = _numbered(checked.where("_bad").select("file", "_block", "_id", F.col("value").alias("text"), F.array_compact("_wrong").alias("fields")), lines)
-    if stop and (first := bad.orderBy("file", "line").first()) is not None:
-        raise BadLine(f"{first.file}:{first.line}: {', '.join(first.fields) or 'number of fields'}: {first.text!r}")
-    return checked.where("NOT _bad").select(*[c for c in rows.columns if not c.startswith("_") and c not in ("value", "file")]), bad
+    if stop:
+        if checked.where("_bad").count():  # only then lines are numbered, which shuffles those of whole files
+            first = bad.orderBy("file", "line").first()
+            raise BadLine(f"{first.file}:{first.line}: {', '.join(first.fields) or 'number of fields'}: {first.text!r}")
+        return rows.select(*own), bad
+    return checked.where("NOT _bad").select(*own), bad
 
 
 #: Columns that may be empty.
