@@ -24,7 +24,7 @@ class Counting:
 def test_unknown_words_are_encoded_together():
     ids = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     whole = ids.tokenizer
-    texts = ["It's 'S DON'T they'LL 'sabc --'d ñandú ª²x½3 </s> <s> <unk> [INST]", " ".join(f"q{i}zw-{i:x}" for i in range(3000))]
+    texts = ["It's 'S DON'T they'LL 'sabc --'d ñandú ª²x½3 </s> <s> <unk> [INST]", " ".join("".join(chr(97 + i // 26**k % 26) for k in range(3)) + "qz" for i in range(3000))]
     ids.tokenizer = Counting(whole)
     found = ids.of_texts(texts)
     assert found == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
