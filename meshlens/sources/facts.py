@@ -144,7 +144,12 @@ def write_table(rows: DataFrame, path: str, ip: str, ts: str = "start", buckets:
     Tasks write ranges of (bucket, time), so a bucket with many rows is many files, each of a span of time.
     """
     out = rows.withColumn("ip_bucket", net.bucket(F.col(ip), buckets))
-    out.repartitionByRange("ip_bucket", ts).sortWithinPartitions("ip_bucket", ts).write.partitionBy("ip_bucket").mode("append").parquet(path)
+    write_dealt(out.repartitionByRange("ip_bucket", ts), path, ts)
+
+
+def write_dealt(rows: DataFrame, path: str, ts: str = "start") -> None:
+    """As ``write_table`` for rows with their ``ip_bucket`` that tasks hold by ranges of (bucket, time)."""
+    rows.sortWithinPartitions("ip_bucket", ts).write.partitionBy("ip_bucket").mode("append").parquet(path)
 
 
 def read_table(

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshlens.functions import net, times
 from meshlens.operators import rollups
 from meshlens.sources import facts
 
@@ -37,6 +38,16 @@ def fitting(metric: str, wanted: int | None) -> dict[str, int]:
     return levels or dict([min(rollups.LEVELS[metric].items(), key=lambda x: x[1])])
 
 
+def dealt_rollup(rows: DataFrame, keys: list[str], step: int, ip: str, buckets: int) -> DataFrame:
+    """Traffic rolled up to ``step`` with its ``ip_bucket``, dealt by ranges of (bucket, time, keys) once: the rollup and the table's layout share that shuffle.
+
+    ``ip`` is one of ``keys``. The rows of a result are in one range, and a hot bucket's moment is many ranges if it has many keys.
+    """
+    rows = rows.select(*keys, "start", "stop", "packets", "eth_payload", "mtu").withColumn("ip_bucket", net.bucket(F.col(ip), buckets))
+    rows = rows.withColumn("_slot", times.floor_to(F.col("start"), step)).repartitionByRange("ip_bucket", "_slot", *keys)
+    return rollups.traffic_rollup(rows, [*keys, "ip_bucket", "_slot"], step).drop("_slot")
+
+
 def write_levels(
     rows: DataFrame, root: str, metric: str, keys: list[str], ip: str, column: str = "rt", subnets: list[tuple[int, int]] | None = None, buckets: int = facts.BUCKETS
 ) -> None:
@@ -47,10 +58,11 @@ def write_levels(
     """
     spark, source = rows.sparkSession, rows
     for name, step in sorted(rollups.LEVELS[metric].items(), key=lambda x: x[1]):
-        if step:
-            source = rollups.traffic_rollup(source, keys, step) if metric == "traffic" else rollups.transaction_rollup(source, keys, step, column, subnets)
         path = f"{root}/{metric}/{name}"
-        facts.write_table(source, path, ip, "start", buckets)
+        if step and metric == "traffic":
+            facts.write_dealt(dealt_rollup(source, keys, step, ip, buckets), path)
+        else:
+            facts.write_table(rollups.transaction_rollup(source, keys, step, column, subnets) if step else source, path, ip, "start", buckets)
         source = spark.read.parquet(path).drop("ip_bucket")
 
 
