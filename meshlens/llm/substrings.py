@@ -23,6 +23,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -247,21 +248,23 @@ def _runs(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.concatenate([first[1:], [len(key)]]) - 1
 
 
-def unresolved(key: np.ndarray, pos: np.ndarray, own: np.ndarray, passages: list[tuple], min_words: int) -> np.ndarray:
-    """Indices of seeds that another round should compare; ``own``: the text is the seed's reference.
+def unresolved(key: np.ndarray, pos: np.ndarray, own: np.ndarray, passages: list[tuple], min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of seeds that another round should compare, which of them are free); ``own``: the text is the seed's reference.
 
     These are runs of seeds outside ``passages`` (key, start, end), of at least the words of a piece, with what lies within a passage's length
     of them, where that is long enough for a passage. A run of own seeds alone needs none: who shares it has been compared with it.
+    Free are seeds whose words around are not all in one of ``passages``; with the others alone none can be found that reaches beyond these.
     """
     order = np.lexsort((pos, key))
     k, p = key[order], pos[order]
-    free = np.ones(len(k), bool)
+    free, reaching = np.ones(len(k), bool), np.ones(len(k), bool)
     for text, begin, end in passages:
         a, b = np.searchsorted(k, text), np.searchsorted(k, text, "right")
         free[a + np.searchsorted(p[a:b], begin) : a + np.searchsorted(p[a:b], end - K, "right")] = False
+        reaching[a + np.searchsorted(p[a:b], begin + CONTEXT) : a + np.searchsorted(p[a:b], end - K - CONTEXT, "right")] = False
     at = np.flatnonzero(free)
     if not len(at):
-        return at
+        return at, free[:0]
     first, last = _runs(k[at], p[at])
     others = np.add.reduceat((~own[order[at]]).astype(np.int64), first) > 0
     first, last = at[first], at[last]
@@ -273,14 +276,15 @@ def unresolved(key: np.ndarray, pos: np.ndarray, own: np.ndarray, passages: list
     np.add.at(near, np.searchsorted(place + p, place[last] + p[last] + min_words, "right"), -1)
     at = np.flatnonzero(np.cumsum(near[:-1]) > 0)
     if not len(at):
-        return at
+        return at, free[:0]
     first, last = _runs(k[at], p[at])
     long_ = p[at[last]] - p[at[first]] + K + 2 * CONTEXT >= min_words
-    return order[at[np.repeat(long_, last - first + 1)]]
+    at = at[np.repeat(long_, last - first + 1)]
+    return order[at], reaching[at]
 
 
 def _passages(min_words: int, min_same: float):
-    """Passages, and with ``around`` the seeds for the next round. Rows come sorted by (key, ref, pos, ref_pos); a text's rows may go on over batches."""
+    """Passages, and with ``around`` the seeds for the next round, whose ``equal_words`` are 1 if they are free. Rows come sorted by (key, ref, pos, ref_pos); a text's rows may go on over batches."""
 
     def whole(table: pa.Table):
         ids = [table[c].to_numpy() for c in ("key", "ref", "pos", "ref_pos")]
@@ -300,10 +304,10 @@ def _passages(min_words: int, min_same: float):
         rows = [(k, *x) for k, found in pieces.items() for x in merged(found, min_words, min_same)]
         columns = list(zip(*rows)) or [[]] * 7
         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.nulls(len(rows), pa.binary())], names=[*_PASSAGE, "around"])
-        left = unresolved(key, pos, key == ref, [(r[0], r[2], r[3]) for r in rows], min_words)
+        left, free = unresolved(key, pos, key == ref, [(r[0], r[2], r[3]) for r in rows], min_words)
         if len(left):
             none = pa.nulls(len(left), pa.int64())
-            held = [pa.array(key[left]), pa.array(ref[left]), pa.array(pos[left]), none, pa.array(ref_pos[left]), none, none]
+            held = [pa.array(key[left]), pa.array(ref[left]), pa.array(pos[left]), none, pa.array(ref_pos[left]), none, pa.array(free.astype(np.int64))]
             yield pa.RecordBatch.from_arrays([*held, table["around"].combine_chunks().take(pa.array(left))], names=[*_PASSAGE, "around"])
 
     def run(batches):
@@ -334,14 +338,21 @@ def _reach(min_words: int) -> tuple[int, int, int]:
 
 
 def _spans(low: int, high: int):
-    """(span, key): each two seeds of a text in order, at distances of ``low`` to ``high`` words. Rows come sorted by (key, pos); few of the last ones are held."""
+    """(span, key, wider, closer), equal ones of a batch and step once: each two seeds of a text in order, at distances of ``low`` to ``high`` words; with a column ``free`` only those with a free seed
+    from the one to the other. ``wider`` and ``closer`` are the spans from the seed before the first one and up to the seed before the second one, 0 where these
+    are none. Rows come sorted by (key, pos); few of the last ones are held."""
+
+    def span(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return kernels.signed(kernels.mix(kernels.mix(a.view(np.uint64)) * np.uint64(3) + b.view(np.uint64)))
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
             given = [batch.column(c).to_numpy().astype(np.int64) for c in ("seed", "key", "pos")]
+            given.append(batch.column("free").to_numpy(zero_copy_only=False).astype(np.int64) if "free" in batch.schema.names else np.ones(len(batch), np.int64))
             done = len(held[0])
-            seed, key, pos = (np.concatenate(x) for x in zip(held, given))
+            seed, key, pos, free = (np.concatenate(x) for x in zip(held, given))
+            before = np.concatenate([[0], np.cumsum(free)])
             step = 0 if low == 0 else 1
             while True:  # a distance in rows; each is at least one word
                 at = np.arange(max(done, step), len(key))
@@ -349,14 +360,19 @@ def _spans(low: int, high: int):
                 apart = pos[ahead] - pos[ahead - step]
                 if step and not (len(ahead) and apart.min() <= high):
                     break
-                ahead = ahead[(apart >= low) & (apart <= high)]
+                ahead = ahead[(apart >= low) & (apart <= high) & (before[ahead + 1] > before[ahead - step])]
                 if len(ahead):
-                    span = kernels.mix(kernels.mix(seed[ahead - step].view(np.uint64)) * np.uint64(3) + seed[ahead].view(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(kernels.signed(span)), pa.array(key[ahead])], names=["span", "key"])
+                    i, prior, inner = ahead - step, np.maximum(ahead - step - 1, 0), np.maximum(ahead - 1, 0)
+                    wider = np.where((i > 0) & (key[prior] == key[ahead]) & (pos[ahead] - pos[prior] <= high), span(seed[prior], seed[ahead]), 0)
+                    closer = np.where((step > 0) & (pos[inner] - pos[i] >= low) & (before[ahead] > before[i]), span(seed[i], seed[inner]), 0)
+                    rows = [span(seed[i], seed[ahead]), key[ahead], wider, closer]
+                    order = np.lexsort(rows)  # a line repeated on and on gives the same ones again
+                    new = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in rows], axis=0)])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[order[new]]) for x in rows], names=["span", "key", "wider", "closer"])
                 step += 1
             if len(key):
                 keep = (key == key[-1]) & (pos >= pos[-1] - high)
-                held = [x[keep] for x in (seed, key, pos)]
+                held = [x[keep] for x in (seed, key, pos, free)]
 
     return run
 
@@ -365,48 +381,112 @@ def _spans(low: int, high: int):
 HOT_SEED, SPAN_TILE = 32, 1024
 
 
-def _compared_with_all(left: DataFrame, found: DataFrame, min_words: int, min_same: float, shape: str) -> DataFrame:
-    """Passages of the seeds ``left`` (key, pos) with every text of ``found`` (seed, key, pos, around) that has a smaller key, whatever reference seeds have.
+def _with_pairs(min_words: int, min_same: float):
+    """Passages of texts with others, one pair after the other. Rows come sorted by (key, ref): for each text one without ``ref``, whose ``places`` are its own
+    frequent seeds, then those of its pairs: ``places`` of the other text's frequent seeds, ``rare`` matches."""
+
+    def lists(column: pa.Array, *names: str) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """(fields of the lists' items, those that are words around, row of each item)."""
+        items = column.flatten()
+        numbers = [items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names if "around" not in c]
+        rows = [np.frombuffer(b"".join(items.field(c).to_pylist()), np.uint8).reshape(-1, 2 * CONTEXT) for c in names if "around" in c]
+        return numbers, rows, np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+
+    def run(batches):
+        now, own, pieces = None, None, []
+        for batch in batches:
+            key, ref = batch.column("key").to_numpy(), batch.column("ref")
+            first = ref.is_null().to_numpy(zero_copy_only=False)
+            ref = ref.fill_null(0).to_numpy()
+            (seed, at), (near,), row = lists(batch.column("places"), "seed", "pos", "around")
+            (pos, ref_pos), (around, ref_around), rare = lists(batch.column("rare"), "pos", "ref_pos", "around", "ref_around")
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            rows = []
+            for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
+                if now is None or key[a] != now:
+                    rows += [(now, *x) for x in merged(pieces, min_words, min_same)]
+                    now, own, pieces = int(key[a]), None, []
+                i, j = np.searchsorted(row, [a, b])
+                if first[a]:
+                    j = np.searchsorted(row, a + 1)
+                    order = np.argsort(seed[i:j], kind="stable") + i
+                    own = seed[order], at[order], near[order]
+                    i, j, a = j, np.searchsorted(row, b), a + 1
+                # each place of a seed in the text with its first one in each other text
+                low, high = (np.searchsorted(own[0], seed[i:j], side) for side in ("left", "right"))
+                n = high - low
+                other = np.repeat(np.arange(i, j), n)
+                mine = np.arange(len(other)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                c, d = np.searchsorted(rare, [a, b])
+                sides = [np.concatenate(x) for x in ((own[1][mine], pos[c:d]), (at[other], ref_pos[c:d]), (own[2][mine], around[c:d]), (near[other], ref_around[c:d]), (row[other], rare[c:d]))]
+                order = np.argsort(sides[4], kind="stable")
+                sides = [x[order] for x in sides]
+                pair = np.flatnonzero(np.concatenate([[True], np.diff(sides[4]) != 0])) if len(order) else order
+                for x, y in zip(pair.tolist(), [*pair[1:].tolist(), len(order)]):
+                    if sides[0][x:y].min() < sides[0][x:y].max():
+                        found = aligned(*(z[x:y] for z in sides[:4]), MIN_PIECE, min_same)
+                        pieces += [(*z, int(ref[sides[4][x]])) for z in found]
+            columns = list(zip(*rows)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_PASSAGE)
+        rows = [(now, *x) for x in merged(pieces, min_words, min_same)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=_PASSAGE)
+
+    return run
+
+
+def _compared_with_all(left: DataFrame, found: DataFrame, min_words: int, min_same: float) -> DataFrame:
+    """Passages of the seeds ``left`` (key, pos, free) with every text of ``found`` (seed, key, pos, around) that has a smaller key, whatever reference seeds have.
 
-    Pairs of texts have a rare seed or a span of frequent ones in common. Spans that many texts have are tiled, and no task holds their pairs; these are as many as
-    the texts' square where a stretch of more words than ``_reach`` asks for, but no passage, is common to them all.
+    Pairs of texts have a rare seed or a span of frequent ones in common, and a seed that is free (``unresolved``): without one, what they share has been found. Spans that many
+    texts have are tiled, and no task holds their pairs; these are as many as the texts' square where a stretch of more words than ``_reach`` asks for, but no
+    passage, is common to them all. A pair is one row, with the other text's seeds as a list.
     """
     low, high, others_high = _reach(min_words)
     found = found.select("seed", "key", "pos", "around", F.col("ref").alias("first"))
-    mine = staged(found.join(small_side(left, 1_000_000), ["key", "pos"], "left_semi"), "mine")
+    mine = staged(found.join(small_side(left, 1_000_000), ["key", "pos"]), "mine")
     wanted = staged(mine.select("seed").distinct(), "wanted")
     theirs = staged(found.join(small_side(wanted), "seed", "left_semi"), "theirs")
     hot = staged(theirs.groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > HOT_SEED).select("seed"), "hot")
     rare, often = ([x.join(small_side(hot), "seed", how) for x in (mine, theirs)] for how in ("left_anti", "left_semi"))
-    # pairs with a rare seed, by which a text has fewer partners than that; what it shares with its seeds' references has been compared already
-    met = rare[0].select("seed", "key", "pos", "first").join(rare[1].groupBy("seed", F.col("key").alias("ref")).agg(F.min("pos").alias("ref_pos")), "seed").where("ref < key")
+    around = F.struct("pos", "around")
+    # pairs with a rare seed, by which a text has fewer partners than that; what it shares with its seeds' references has been compared already.
+    # As in the rounds, a seed stands for its first place in the other text: a line that both repeat makes no product of its places
+    places = rare[1].repartition("seed").groupBy("seed", F.col("key").alias("ref")).agg(F.min(around).alias("r"))
+    met = rare[0].join(places, "seed").where("ref < key").select("key", "ref", "pos", F.col("r.pos").alias("ref_pos"), "around", F.col("r.around").alias("ref_around"), "first", "free")
+    match = F.struct("pos", "ref_pos", "around", "ref_around")
     apart = [(F.max(c) - F.min(c)) >= low for c in ("pos", "ref_pos")]
-    met = met.groupBy("key", "ref").agg((F.bool_or(F.col("first") != F.col("ref")) & apart[0] & apart[1]).alias("likely"))
-    more = staged(often[0].select("key").distinct().withColumn("more", F.lit(True)), "more")
-    pairs = met.join(small_side(more), "key", "left").where("likely OR more").select("key", "ref")
+    likely = (F.bool_or(F.col("first") != F.col("ref")) & apart[0] & apart[1]).alias("likely")
+    met = staged(met.distinct().groupBy("key", "ref").agg(likely, F.bool_or("free").alias("open"), F.collect_list(match).alias("rare")), "met")  # no more than the text's seeds
+    more = staged(often[0].groupBy("key").agg(F.bool_or("free").alias("more")), "more")
+    pairs = met.select("key", "ref", "likely", "open").join(small_side(more), "key", "left").where("open AND (likely OR more IS NOT NULL) OR more").select("key", "ref")
 
     def spans(rows: DataFrame, most: int) -> DataFrame:
-        rows = rows.select("seed", "key", "pos").repartition("key").sortWithinPartitions("key", "pos")
-        return rows.mapInArrow(_spans(low, most), "span long, key long")
+        rows = rows.select("seed", "key", "pos", "free").repartition("key").sortWithinPartitions("key", "pos")
+        return rows.mapInArrow(_spans(low, most), "span long, key long, wider long, closer long")
 
     # pairs that share frequent seeds alone
     own = staged(spans(often[0], high).distinct(), "own")
-    other = spans(often[1], others_high).distinct().join(small_side(own.select("span").distinct()), "span", "left_semi")
-    other = staged(other.withColumnRenamed("key", "ref"), "other")
+    other = spans(often[1].withColumn("free", F.lit(True)), others_high).distinct().join(small_side(own.select("span").distinct()), "span", "left_semi")
+    other = staged(other.select("span", F.col("key").alias("ref"), F.col("wider").alias("w"), F.col("closer").alias("c")), "other")
     sizes = other.groupBy("span").agg(F.ceil(F.count("*") / SPAN_TILE).cast("int").alias("tiles")).where("tiles > 1")
     sizes = staged(sizes, "sizes")
     tiles = F.coalesce("tiles", F.lit(1))
     own, other = (x.join(small_side(sizes), "span", "left").withColumn("tiles", tiles) for x in (own, other))
     own = own.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).drop("tiles")
     other = other.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-    pairs = pairs.union(own.join(other, ["span", "tile"]).where("ref < key").select("key", "ref"))
+    # two texts that have the wider or the closer span in common, too, are a pair by that one
+    alone = "ref < key AND (wider <> w OR w = 0) AND (closer <> c OR c = 0)"
+    pairs = pairs.union(own.join(other, ["span", "tile"]).where(alone).select("key", "ref"))
     pairs = staged(pairs.distinct(), "pairs")  # the smallest key keeps a passage
-    # as in the rounds, a seed stands for its first place in the other text: a line that both repeat makes no product of its places
-    places = theirs.groupBy(F.col("key").alias("ref"), "seed").agg(F.min(F.struct("pos", "around")).alias("r"))
-    places = places.select("ref", "seed", F.col("r.pos").alias("ref_pos"), F.col("r.around").alias("ref_around"))
-    with_all = mine.join(pairs, "key").join(places, ["ref", "seed"])
-    rows = with_all.select("key", "ref", "pos", "ref_pos", "around", "ref_around").repartition("key").sortWithinPartitions("key", "ref", "pos", "ref_pos")
-    return staged(rows.mapInArrow(_passages(min_words, min_same), shape).where("around is null").select(*_PASSAGE), "with-all")
+    place = F.struct("seed", "pos", "around")
+    own = mine.select("key").distinct().join(often[0].distinct().groupBy("key").agg(F.collect_list(place).alias("places")), "key", "left")
+    own = pairs.select("key").distinct().join(own, "key").select("key", F.lit(None).cast("long").alias("ref"), "places", F.lit(None).cast(met.schema["rare"].dataType).alias("rare"))
+    firsts = often[1].groupBy(F.col("key").alias("ref"), "seed").agg(F.min(around).alias("r")).select("ref", "seed", "r.*")
+    firsts = firsts.groupBy("ref").agg(F.collect_list(place).alias("places"))
+    paired = pairs.join(met.select("key", "ref", "rare"), ["key", "ref"], "left").join(firsts, "ref", "left").select("key", "ref", "places", "rare")
+    rows = own.unionByName(paired).repartition("key").sortWithinPartitions("key", "ref")
+    return staged(rows.mapInArrow(_with_pairs(min_words, min_same), ", ".join(f"{c} long" for c in _PASSAGE)), "with-all")
 
 
 _PASSAGE = ["key", "ref", "start_word", "end_word", "ref_start", "ref_end", "equal_words"]
@@ -432,7 +512,7 @@ def passages_of_texts(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
     first = found.where("key = ref").groupBy("seed").agg(F.min(owner).alias("r"))
     first = first.select("seed", F.col("r.pos").alias("ref_pos"), F.col("r.around").alias("ref_around"))
     sides = ["key", "ref", "pos", "ref_pos", "around", "ref_around"]
-    matches = found.where("key <> ref").join(small_side(staged(first, "first"), 1_000_000), "seed").select(*sides)
+    matches = found.where("key <> ref").join(small_side(staged(first, "first")), "seed").select(*sides)
     # a text's own seeds only make its runs whole: they need no join
     selves = found.where("key = ref").select("key", "ref", "pos", F.col("pos").alias("ref_pos"), "around", F.lit(bytes(2 * CONTEXT)).alias("ref_around"))
     matches = matches.unionByName(selves)
@@ -443,7 +523,7 @@ def passages_of_texts(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
         out = staged(rows.mapInArrow(_passages(min_words, min_same), shape), "passages")
         new = out.where("around is null").select(*_PASSAGE)
         if unresolved_ones is None:
-            unresolved_ones = out.where("around is not null").select("key", F.col("start_word").cast("int").alias("pos"))
+            unresolved_ones = out.where("around is not null").select("key", F.col("start_word").cast("int").alias("pos"), (F.col("equal_words") > 0).alias("free"))
         if rounds and new.isEmpty():
             break
         rounds.append(new)
@@ -460,7 +540,7 @@ def passages_of_texts(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
             within = more.select(F.col("key").alias("k"), F.col("start_word").alias("a"), F.col("end_word").alias("b"))
             unresolved_ones = unresolved_ones.join(within, F.expr(f"key = k AND pos >= a AND pos + {K} <= b"), "left_anti")
         unresolved_ones = staged(unresolved_ones, "unresolved")
-        rounds.append(_compared_with_all(unresolved_ones, found, min_words, min_same, shape))
+        rounds.append(_compared_with_all(unresolved_ones, found, min_words, min_same))
     found = functools.reduce(DataFrame.unionByName, rounds)
     if len(rounds) == 1:
         return found

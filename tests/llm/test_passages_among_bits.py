@@ -83,3 +83,57 @@ def test_spans_over_batches():
             assert len(got) == want
             found.append(sorted(got))
         assert found[0] == found[1] == found[2]
+
+
+def test_pairs_hold_a_free_seed_and_are_a_row_each(spark, monkeypatch):
+    """Texts that share but a line with all others, beside a passage that is found, are compared over the line's free seeds alone."""
+    rng = random.Random(6)
+    fill = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    shared, line = fill(90), fill(40)
+    texts = [" ".join([*fill(10), *shared, *fill(10)]) for _ in range(50)]
+    texts += [" ".join([*fill(10), *shared, *fill(5), *shared[:20], *fill(20), *shared[30:50], *fill(20)]) for _ in range(50)]
+    tail = fill(30)
+    texts += [" ".join([*fill(20), *line, *(tail if i < 2 else fill(30)), *fill(20)]) for i in range(45)]
+    made, whole = {}, substrings.staged
+
+    def staged(df, name):
+        made[name] = out = whole(df, name)
+        return out
+
+    monkeypatch.setattr(substrings, "staged", staged)
+    got = spans(spark, texts)
+    assert len({d for d, a, b in got if d < 100 and b - a >= 85}) == 99
+    assert [b - a for d, a, b in got if d >= 100] == [70]
+    keys = [substrings.text_key(t) for t in texts]
+    lines = sorted(keys[100:])
+    pairs = {(r.key, r.ref) for r in made["pairs"].collect()}
+    assert {(a, b) for a in lines for b in lines if b < a} >= {p for p in pairs if p[0] in lines}
+    assert not any(k in keys[:50] for k, _ in pairs)  # all that these share lies in their passage
+    assert made["with-all"].count() <= len(pairs)
+
+
+def test_spans_of_a_repeated_line_are_made_once():
+    import pyarrow as pa
+
+    seeds = [11, 22, 33, 44] * 200
+    table = pa.table({"seed": pa.array(seeds), "key": pa.array([5] * 800), "pos": pa.array(range(0, 8000, 10), pa.int32())})
+    got = [x for b in substrings._spans(21, 50)(iter(table.to_batches())) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert len({x[0] for x in got}) == 12 and len(got) < 20
+
+
+def test_wider_and_closer_spans_imply_every_pair():
+    """The spans that the join leaves a pair with are some wherever any span is common."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        rows = []
+        for key in (1, 2):
+            pos = np.sort(rng.choice(300, 60, replace=False))
+            rows += [(int(s), key, int(p)) for s, p in zip(rng.integers(0, 8, 60), pos)]
+        table = pa.table({"seed": pa.array([r[0] for r in rows]), "key": pa.array([r[1] for r in rows]), "pos": pa.array([r[2] for r in rows], pa.int32()), "free": pa.array([bool(x) for x in rng.random(120) < 0.3])})
+        found = [{x for b in substrings._spans(21, high)(iter(table.slice(60 * k, 60).to_batches(max_chunksize=17))) for x in zip(*(c.to_pylist() for c in b.columns))} for k, high in ((0, 50), (1, 116))]
+        common = {a[0] for a in found[0]} & {b[0] for b in found[1]}
+        kept = [1 for a in found[0] for b in found[1] if a[0] == b[0] and (a[2] != b[2] or not b[2]) and (a[3] != b[3] or not b[3])]
+        assert bool(kept) == bool(common)
