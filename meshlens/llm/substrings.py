@@ -338,7 +338,7 @@ def _reach(min_words: int) -> tuple[int, int, int]:
 
 
 def _spans(low: int, high: int):
-    """(span, key, wider, closer), equal ones of a batch and step once: each two seeds of a text in order, at distances of ``low`` to ``high`` words; with a column ``free`` only those with a free seed
+    """(span, key, wider, closer), equal ones of a text once as far as the task remembers: each two seeds of a text in order, at distances of ``low`` to ``high`` words; with a column ``free`` only those with a free seed
     from the one to the other. ``wider`` and ``closer`` are the spans from the seed before the first one and up to the seed before the second one, 0 where these
     are none. Rows come sorted by (key, pos); few of the last ones are held."""
 
@@ -346,7 +346,7 @@ def _spans(low: int, high: int):
         return kernels.signed(kernels.mix(kernels.mix(a.view(np.uint64)) * np.uint64(3) + b.view(np.uint64)))
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4
+        held, seen, of = [np.zeros(0, np.int64)] * 4, set(), None
         for batch in batches:
             given = [batch.column(c).to_numpy().astype(np.int64) for c in ("seed", "key", "pos")]
             given.append(batch.column("free").to_numpy(zero_copy_only=False).astype(np.int64) if "free" in batch.schema.names else np.ones(len(batch), np.int64))
@@ -368,7 +368,13 @@ def _spans(low: int, high: int):
                     rows = [span(seed[i], seed[ahead]), key[ahead], wider, closer]
                     order = np.lexsort(rows)  # a line repeated on and on gives the same ones again
                     new = np.concatenate([[True], np.any([np.diff(x[order]) != 0 for x in rows], axis=0)])
-                    yield pa.RecordBatch.from_arrays([pa.array(x[order[new]]) for x in rows], names=["span", "key", "wider", "closer"])
+                    rows = [x[order[new]] for x in rows]
+                    if of != key[-1] or len(seen) > 1_000_000:
+                        of, seen = int(key[-1]), set()  # of the text that goes on in the next batch
+                    own = np.flatnonzero(rows[1] == of)
+                    new = np.ones(len(rows[0]), bool)
+                    new[own] = [x not in seen and not seen.add(x) for x in zip(*(rows[c][own].tolist() for c in (0, 2, 3)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x[new]) for x in rows], names=["span", "key", "wider", "closer"])
                 step += 1
             if len(key):
                 keep = (key == key[-1]) & (pos >= pos[-1] - high)
@@ -512,7 +518,7 @@ def passages_of_texts(docs: DataFrame, min_words: int = MIN_WORDS, min_same: flo
     first = found.where("key = ref").groupBy("seed").agg(F.min(owner).alias("r"))
     first = first.select("seed", F.col("r.pos").alias("ref_pos"), F.col("r.around").alias("ref_around"))
     sides = ["key", "ref", "pos", "ref_pos", "around", "ref_around"]
-    matches = found.where("key <> ref").join(small_side(staged(first, "first")), "seed").select(*sides)
+    matches = found.where("key <> ref").join(first, "seed").select(*sides)
     # a text's own seeds only make its runs whole: they need no join
     selves = found.where("key = ref").select("key", "ref", "pos", F.col("pos").alias("ref_pos"), "around", F.lit(bytes(2 * CONTEXT)).alias("ref_around"))
     matches = matches.unionByName(selves)

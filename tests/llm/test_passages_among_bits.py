@@ -119,6 +119,8 @@ def test_spans_of_a_repeated_line_are_made_once():
     table = pa.table({"seed": pa.array(seeds), "key": pa.array([5] * 800), "pos": pa.array(range(0, 8000, 10), pa.int32())})
     got = [x for b in substrings._spans(21, 50)(iter(table.to_batches())) for x in zip(*(c.to_pylist() for c in b.columns))]
     assert len({x[0] for x in got}) == 12 and len(got) < 20
+    parts = [x for b in substrings._spans(21, 50)(iter(table.to_batches(max_chunksize=9))) for x in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(parts) == sorted(got)
 
 
 def test_wider_and_closer_spans_imply_every_pair():
