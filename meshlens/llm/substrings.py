@@ -473,17 +473,19 @@ def _compared_with_all(left: DataFrame, found: DataFrame, min_words: int, min_sa
 
     # pairs that share frequent seeds alone
     own = staged(spans(often[0], high).distinct(), "own")
-    other = spans(often[1].withColumn("free", F.lit(True)), others_high).distinct().join(small_side(own.select("span").distinct()), "span", "left_semi")
-    other = staged(other.select("span", F.col("key").alias("ref"), F.col("wider").alias("w"), F.col("closer").alias("c")), "other")
+    other = spans(often[1].withColumn("free", F.lit(True)), others_high)
+    other = other.select("span", F.col("key").alias("ref"), F.col("wider").alias("w"), F.col("closer").alias("c"))
+    # two texts that have the wider or the closer span in common, too, are a pair by that one: what makes no pair with any text goes before the texts meet
+    alone = "(wider <> w OR w = 0) AND (closer <> c OR c = 0)"
+    kinds = staged(own.groupBy("span", "wider", "closer").agg(F.max("key").alias("last")), "kinds").withColumnRenamed("span", "s")
+    other = staged(other.join(small_side(kinds), F.expr(f"span = s AND ref < last AND {alone}"), "left_semi").distinct(), "other")
     sizes = other.groupBy("span").agg(F.ceil(F.count("*") / SPAN_TILE).cast("int").alias("tiles")).where("tiles > 1")
     sizes = staged(sizes, "sizes")
     tiles = F.coalesce("tiles", F.lit(1))
     own, other = (x.join(small_side(sizes), "span", "left").withColumn("tiles", tiles) for x in (own, other))
-    own = own.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).drop("tiles")
-    other = other.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
-    # two texts that have the wider or the closer span in common, too, are a pair by that one
-    alone = "ref < key AND (wider <> w OR w = 0) AND (closer <> c OR c = 0)"
-    pairs = pairs.union(own.join(other, ["span", "tile"]).where(alone).select("key", "ref"))
+    own = own.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+    other = other.withColumn("tile", F.pmod(F.xxhash64("ref"), F.col("tiles")).cast("int")).drop("tiles")
+    pairs = pairs.union(own.join(other, ["span", "tile"]).where(f"ref < key AND {alone}").select("key", "ref"))
     pairs = staged(pairs.distinct(), "pairs")  # the smallest key keeps a passage
     place = F.struct("seed", "pos", "around")
     own = mine.select("key").distinct().join(often[0].distinct().groupBy("key").agg(F.collect_list(place).alias("places")), "key", "left")

@@ -139,3 +139,27 @@ def test_wider_and_closer_spans_imply_every_pair():
         common = {a[0] for a in found[0]} & {b[0] for b in found[1]}
         kept = [1 for a in found[0] for b in found[1] if a[0] == b[0] and (a[2] != b[2] or not b[2]) and (a[3] != b[3] or not b[3])]
         assert bool(kept) == bool(common)
+
+
+def test_only_spans_that_make_a_pair_meet(spark, monkeypatch):
+    """A line that many texts have gives many spans; all but the widest ones are implied and go before the texts are joined."""
+    rng = random.Random(8)
+    fill = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line = fill(40)
+    texts = [" ".join([*fill(20), *line, *fill(20)]) for _ in range(45)]
+    made, whole = {}, substrings.staged
+
+    def staged(df, name):
+        made[name] = out = whole(df, name)
+        return out
+
+    monkeypatch.setattr(substrings, "staged", staged)
+    monkeypatch.setattr(substrings, "SPAN_TILE", 10)  # tiles make no difference
+    assert spans(spark, texts) == []
+    own, keys = {}, sorted(substrings.text_key(t) for t in texts)
+    for r in made["own"].collect():
+        own.setdefault(r.span, []).append(r)
+    other = made["other"].collect()
+    meets = lambda x, r: r.ref < x.key and (x.wider != r.w or r.w == 0) and (x.closer != r.c or r.c == 0)
+    assert other and all(any(meets(x, r) for x in own.get(r.span, [])) for r in other)
+    assert {(r.key, r.ref) for r in made["pairs"].collect()} == {(a, b) for a in keys for b in keys if b < a and a != keys[0]}
